@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .chat_format import preference_pairs
 from .embedding_dedup import embedding_components
 from .exact_dedup import exact_duplicates
+from .language_id import identify, page_parts, train
 from .license_scan import license_scan
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
@@ -44,6 +45,15 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, by its text and source, and every page, by its text, markup, address and host."""
+    docs, pages = _table(spark, sf_dir, "documents"), page_parts(_table(spark, sf_dir, "pages"))
+    none = F.lit(None).cast("string")
+    rows = docs.select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", none.alias("declared"), none.alias("suffix"), F.col("source").alias("host"), none.alias("domain"))
+    rows = rows.unionByName(pages.select(F.lit(None).cast("long").alias("doc_id"), "page_id", F.col("page_text").alias("text"), "declared", "suffix", "host", "domain"))
+    return identify(rows, train(docs), keep=["doc_id", "page_id"], declared_col="declared", suffix_col="suffix", host_col="host", domain_col="domain")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -71,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_line_dedup": op4_line_dedup,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_language_id": op6_language_id,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_license_scan": op8_license_scan,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,

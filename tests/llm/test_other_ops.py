@@ -1,0 +1,291 @@
+import hashlib
+import math
+import re
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from plumbline.llm import queries as q
+from plumbline.llm.chat_format import preference_pairs
+from plumbline.llm.embedding_dedup import embedding_components
+from plumbline.llm.exact_dedup import exact_duplicates
+from plumbline.llm.language_id import identify, page_parts, train
+from plumbline.llm.license_scan import BASE, TEMPLATES, license_scan
+from plumbline.llm.mixing import mix_sources, repeated
+from plumbline.llm.shared import components
+from tests.conftest import MEDIUM, SMALL
+from tests.llm import brute
+from tests.llm.test_text_ops import EDGE, check_packing, documents
+
+
+@pytest.fixture(scope="session")
+def edge(spark):
+    rows = [(i, t, ["b", "a", None, "é"][i % 4], "en", i) for i, t in EDGE]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, size int")
+
+
+def oracle(name, at):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{at}/{t}.parquet'")
+    out = con.sql(q.ORACLE_SQL[name])
+    return sorted(map(repr, ([dict(zip(out.columns, r))[c] for c in sorted(out.columns)] for r in out.fetchall())))
+
+
+@pytest.mark.parametrize("name", sorted(q.ORACLE_SQL))
+def test_sql(spark, name):
+    df = q.QUERIES[name](spark, SMALL)
+    assert sorted(repr([r[c] for c in sorted(df.columns)]) for r in df.collect()) == oracle(name, SMALL)
+
+
+# mixing
+
+
+def mixed(rows, weights=(5, 2, 1), most=3):
+    """Targets by giving the excess away again and again."""
+    size = defaultdict(int)
+    for _, t, s, *_ in rows:
+        size[s] += len(brute.WORD.findall(t or ""))
+    order = sorted(size, key=lambda s: (s is None, s))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    total, full = sum(size.values()), set()
+    while True:
+        rest, shares = total - sum(most * size[s] for s in full), sum(weight[s] for s in order if s not in full)
+        aim = {s: most * size[s] if s in full else rest * weight[s] / shares for s in order}
+        above = {s for s in order if s not in full and aim[s] > most * size[s]}
+        if not above:
+            return size, aim
+        full |= above
+
+
+def test_mixing_edges(spark, edge):
+    rows = [tuple(r) for r in edge.collect()]
+    size, aim = mixed(rows)
+    taken = Counter()
+    for r in mix_sources(edge).collect():
+        n = len(brute.WORD.findall(r.text or ""))
+        assert (r["size"], r.source_size) == (n, size[r.source]) and math.isclose(r.target, aim[r.source])
+        assert 0 <= r.taken <= 3 * n
+        taken[r.source] += r.taken
+    assert all(taken[s] == math.floor(aim[s] + 1e-9) for s in size)
+
+
+def test_mixing_repeats_documents(spark, edge):
+    made = mix_sources(edge)
+    want = {(r.doc_id): r.taken for r in made.collect()}
+    got = Counter()
+    for r in repeated(made).collect():
+        got[r.doc_id] += len(brute.WORD.findall(r.text or ""))
+    assert {i: n for i, n in want.items() if n} == {i: n for i, n in got.items() if n}
+
+
+def test_mixing_takes_equal_rows_alike(spark):
+    rows = [(1, "a b c", "x")] * 40 + [(2, "d", "y")] * 3 + [(None, None, "y")]
+    out = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(out) == 44 and len({r.taken for r in out if r.doc_id == 1}) == 1
+
+
+# exact duplicates
+
+
+def exact(rows):
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[t or ""].append(i)
+    return sorted((i, max(g := groups[t or ""]), len(g), i == max(g), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows)
+
+
+@pytest.mark.parametrize("block", [1, 3, 4096])
+def test_exact_dedup(spark, block):
+    rows = [(i, t[:200] if t and block < 9 else t) for i, t in EDGE] + [(100 + i, t[:200] if t and block < 9 else t) for i, t in EDGE[::2]]
+    rows += [(200, "ab"), (201, "ab\0"), (202, "abab"), (203, "abab"), (204, "a" * 7), (205, "a" * 8), (206, "a" * 8)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, name string")
+    got = exact_duplicates(df, block=block).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    assert sorted(map(tuple, got.collect())) == exact(rows)
+
+
+def test_exact_dedup_of_frequent_blocks(spark, monkeypatch):
+    from plumbline.llm import exact_dedup as x
+
+    monkeypatch.setattr(x, "OFTEN", 5)
+    rows = [(i, "same text") for i in range(30)] + [(100 + i, f"own {i % 7}") for i in range(14)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = exact_duplicates(df, block=4).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    assert sorted(map(tuple, got.collect())) == exact(rows)
+
+
+def test_exact_dedup_keeps_one_of_equal_rows(spark):
+    out = exact_duplicates(spark.createDataFrame([(1, "x"), (1, "x"), (None, "x"), (None, "y")], "doc_id long, text string")).collect()
+    assert sum(r.kept for r in out) == 2 and {r.group_size for r in out} == {1, 3}
+
+
+# licences
+
+LICENSE_WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+
+
+def scanned(rows, enough=0.75):
+    out = []
+    for i, t in rows:
+        words = LICENSE_WORD.findall(brute.lower(t or ""))
+        places, base, found = [], set(), {}
+        for phrase, label in BASE:
+            p = phrase.split()
+            at = [k for k in range(len(words)) if words[k : k + len(p)] == p]
+            places += at
+            base |= {label} if at else set()
+        for t_ in TEMPLATES:
+            own = t_.words.split()
+            for off in range(-len(own), len(words)):
+                hit = [off + k >= 0 and off + k < len(words) and words[off + k] == w for k, w in enumerate(own)]
+                starts = [next(j for j in range(len(own)) if own[j : j + len(p.split())] == p.split()) for p in t_.phrases]
+                if sum(hit) / len(own) >= enough and any(all(hit[j : j + len(p.split())]) for j, p in zip(starts, t_.phrases)):
+                    found[t_.label] = max(found.get(t_.label, 0), sum(hit) / len(own))
+        score = max(found.values(), default=0.5 if places else 0.0)
+        out.append((i, len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | set(found))), round(score, 9)))
+    return sorted(out, key=lambda r: r[0])
+
+
+def scan_answer(df):
+    return sorted(((*r[:7], round(r[7], 9)) for r in map(tuple, df.collect())), key=lambda r: r[0])
+
+
+def test_license_scan(spark, edge):
+    notes = ["All Rights Reserved", "all-rights\nreserved. ALL RIGHTS reserved", "cc by cc by", "ccby cc é by", "Licensed under the Apache License, Version 2.0 (the", "released under the MIT licence", "Released under the MIT license", "general public license" * 2, "x" * 50_000 + " license " * 500, "ﬁcc by", "this work is licensed under the gnu general public license, version 3"]
+    rows = EDGE + [(100 + i, t) for i, t in enumerate(notes)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, words string")
+    assert scan_answer(license_scan(df)) == scanned(rows)
+
+
+def test_license_scan_whole_table(spark):
+    assert scan_answer(q.op8_license_scan(spark, SMALL)) == scanned(documents(spark, SMALL))
+
+
+# embeddings
+
+
+def test_embedding_edges(spark):
+    rng = np.random.default_rng(1)
+    near = rng.standard_normal(16)
+    vectors = [near + rng.standard_normal(16) * s for s in (0.01, 0.03, 0.05, 0.08) for _ in range(12)]
+    rows = [(i, v.astype("f4").tolist(), 1) for i, v in enumerate(vectors)]
+    rows += [(100, None, 1), (101, [0.0] * 16, 1), (102, [float("nan")] * 16, 1), (103, [None] + [1.0] * 15, 1), (104, rows[0][1], 2), (105, rows[0][1], None), (106, rows[0][1], 1), (107, rows[0][1], 1), (108, [1.0, 0.0], 1), (109, [1.0, 0.05], 1), (110, [], 1), (111, [float("inf")] * 16, 1)]
+    good = [(i, np.array(v, float), lab) for i, v, lab in rows if v and lab is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    links = [(a, b) for a, x, p in good for b, y, r in good if a != b and p == r and len(x) == len(y) and x @ y / (np.linalg.norm(x) * np.linalg.norm(y)) >= 0.98]
+    comp, degree = brute.linked_components([r[0] for r in rows], links), Counter(a for a, _ in links)
+    want = sorted((i, degree[i], comp[i], comp[i] == i) for i, _, _ in rows)
+    df = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<float>, label int, node int")
+    assert sorted(map(tuple, embedding_components(df).collect())) == want
+
+
+def test_embedding_crowded_cells(spark, monkeypatch):
+    from plumbline.llm import embedding_dedup as x
+
+    df = spark.createDataFrame([(i, [1.0, 0.001 * (i % 50), 0.0, 0.01 * (i // 50)], 1) for i in range(150)], "vec_id long, embedding array<float>, label int")
+    want = sorted(map(tuple, embedding_components(df).collect()))
+    monkeypatch.setattr(x, "CELL", 20)
+    assert sorted(map(tuple, embedding_components(df).collect())) == want
+
+
+def test_components_of_a_long_chain(spark):
+    n = 300
+    order = np.random.default_rng(3).permutation(n).tolist()
+    links = [(order[i], order[i + 1]) for i in range(n - 1)] + [(1000, 1001), (1001, 1001)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert got == {i: 0 for i in range(n)} | {1000: 1000, 1001: 1000}
+
+
+# languages
+
+
+def test_language_held_out(spark):
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
+    model = train(docs.filter("doc_id % 2 = 0"))
+    out = identify(docs.filter("doc_id % 2 = 1"), model, keep=["doc_id", "lang"], host_col="source").collect()
+    assert sum(r.language == r.lang for r in out) >= 0.98 * len(out) and not any(r.rejected for r in out)
+
+
+def test_language_of_pages(spark):
+    docs, pages = spark.read.parquet(f"{SMALL}/documents.parquet"), page_parts(spark.read.parquet(f"{SMALL}/pages.parquet"))
+    out = identify(pages, train(docs), keep=["page_id", "url"], text_col="page_text", host_col="host", domain_col="domain").collect()
+    want = {r.page_id: r.declared for r in pages.collect()}
+    assert sum(want[r.page_id] == r.language for r in out) >= 0.98 * len(out)
+
+
+def test_language_evidence(spark):
+    docs = spark.createDataFrame([("der die das und", "de"), ("the and of is", "en"), (None, "en"), ("", None), ("x" * 200_000, None)], "text string, lang string")
+    rows = spark.createDataFrame(
+        [(1, None, None, None, None), (2, "", None, None, "h"), (3, "123 %%", None, None, "h"), (4, None, "de", None, "h"), (5, "a", None, "de", "k"), (6, "the the the and", None, None, "h"), (7, "und die der das", "en", "uk", "h"), (8, "z" * 300_000, None, None, None)],
+        "id long, text string, declared string, suffix string, host string",
+    )
+    got = {r.id: r for r in identify(rows, train(docs), keep=["id"], declared_col="declared", suffix_col="suffix", host_col="host").collect()}
+    assert [got[i].rejected for i in (1, 2, 3)] == [True] * 3 and len(got) == 8
+    assert got[4].language == "de" and not got[4].rejected and got[5].language == "de" and got[6].language == "en"
+
+
+def test_language_hosts_are_smoothed(spark):
+    docs = spark.createDataFrame([("der die das und", "de"), ("the and of is", "en")], "text string, lang string")
+    rows = [(i, "der die das und der die das", "a.x", "x") for i in range(40)] + [(100, "q", "a.x", "x"), (101, "q", "b.x", "x"), (102, "q", "c.y", "y")]
+    rows += [(200 + i, "the and of is the and of", "d.y", "y") for i in range(40)]
+    out = {r.id: r for r in identify(spark.createDataFrame(rows, "id long, text string, host string, domain string"), train(docs), keep=["id"], host_col="host", domain_col="domain").collect()}
+    assert out[100].language == out[101].language == "de" and out[102].language == "en" and out[100].confidence > out[101].confidence
+
+
+# conversations
+
+
+def test_preference_pairs_edges(spark):
+    rows = [(1, 0, "user", "hi", 9), (1, 1, "assistant", "yo <|end|>", 9), (2, 0, "user", "hi", 9), (2, 1, "assistant", None, 9), (2, 2, None, "é\U0001f600", 9), (3, 0, "user", "hi", 9), (None, 0, "user", "lost", 9), (4, 0, "user", "hi", 9), (4, 0, "user", "hi", 9)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, pair_id int")
+    pairs = spark.createDataFrame([(1, 1, 2), (2, 3, 1), (3, 3, None), (4, 77, 78), (5, 3, 3), (6, 4, 3)], "pair_id long, chosen_id long, rejected_id long")
+    got = {r.pair_id: r for r in preference_pairs(turns, pairs).collect()}
+    user = "<|user|>\nhi<|end|>\n"
+    assert got[1].n_shared == 1 and got[1].prompt == user and got[1].chosen == "<|assistant|>\nyo < |end|><|end|>\n"
+    a, b = map(int, got[1].chosen_spans.split("-"))
+    assert got[1].chosen[a:b] == "yo < |end|><|end|>" and got[1].rejected_spans == "14-21"
+    assert got[2].chosen == "" and got[2].prompt == user and got[3].chosen == user and got[3].rejected == "" and got[3].n_shared == 0
+    assert got[4].prompt == got[4].chosen == "" and got[5].n_shared == 1 and got[6].chosen == user and len(got) == 6
+
+
+# all
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, source string, lang string")
+    for out in (mix_sources(none), exact_duplicates(none), license_scan(none), identify(none, train(none), keep=["doc_id"]), embedding_components(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")), preference_pairs(spark.createDataFrame([], "conv_id long, turn long, role string, text string"), spark.createDataFrame([], "pair_id long, chosen_id long, rejected_id long"))):
+        assert out.count() == 0
+
+
+def test_pipeline_stages_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    junk = spark.createDataFrame([(5000, "123 %%% 456", "en", "src1", 11), (5001, None, None, None, None), (5002, "", "en", "src2", 0)], docs.schema)
+    now = docs.unionByName(junk)
+    columns = now.columns
+    stages = dict(corpus_pipeline.STAGES)
+    out = spark.createDataFrame(stages["language_id"](spark, now, SMALL).collect(), docs.schema)
+    assert out.columns == columns and {r.doc_id for r in now.collect()} - {r.doc_id for r in out.collect()} == {5000, 5001, 5002}
+    rows = [(r.doc_id, r.text) for r in out.collect()]
+    after = spark.createDataFrame(stages["line_dedup"](spark, out, SMALL).collect(), docs.schema)
+    want = {i: (d, h) for i, _, d, h in brute.lines(rows)}
+    got = {r.doc_id: r for r in after.collect()}
+    assert all(hashlib.sha256(got[i].text.encode()).hexdigest() == want[i][1] for i in got) and all(want[i][0] for i in set(want) - set(got))
+    rows = [(r.doc_id, r.text) for r in after.collect()]
+    kept = spark.createDataFrame(stages["ngram_jaccard_join"](spark, after, SMALL).collect(), docs.schema)
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i, _, c in brute.ngram(rows) if i == c]
+    mix = stages["mix_sources"](spark, kept, SMALL)
+    assert mix.columns == columns
+    size, aim = mixed([(r.doc_id, r.text, r.source) for r in kept.collect()])
+    words = Counter()
+    for r in mix.collect():
+        words[r.source] += len(brute.WORD.findall(r.text))
+    assert all(words[s] == math.floor(aim[s] + 1e-9) for s in size)
+    packed = stages["best_fit_packing"](spark, kept, SMALL).collect()
+    check_packing([(r.doc_id, r.text) for r in kept.collect()], packed)
+
+
+def test_pipeline_runs(spark):
+    out = corpus_pipeline.run(spark, SMALL)
+    assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 100
