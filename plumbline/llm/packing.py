@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import written
-from .tokens import WordIds, loaded
+from .tokens import ByteIds, loaded
 
-_MEMO: dict[str, WordIds] = {}
+_MEMO: dict[str, ByteIds] = {}
 #: Pieces packed together; a group leaves one bin that is not full at the least.
 GROUP = 20_000
 
@@ -119,8 +119,10 @@ def _step(lengths: np.ndarray, bins: np.ndarray, fill: np.ndarray, u: int, capac
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], version: str, content, capacity: int, end: int) -> Iterator[pa.RecordBatch]:
-    made = loaded(version, content.value.decode("utf-8"))
-    memo = _MEMO.setdefault(version, WordIds(made))
+    if version not in _MEMO:
+        text = content.value.decode("utf-8")
+        _MEMO[version] = ByteIds(loaded(version, text), text)
+    memo = _MEMO[version]
     tail = end.to_bytes(4, "little")
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     for batch in batches:
