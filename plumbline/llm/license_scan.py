@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -47,7 +48,7 @@ TEMPLATES = (
 # The base phrases and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 #: What a word is, in a raw text and in one whose A-Z are lower-cased.
-_RAW_WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+_RAW_WORD = "[0-9A-Za-z\\x{80}-\\x{10FFFF}]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -80,6 +81,17 @@ def _places(words: Column, phrase: str) -> Column:
     return F.filter(starts, lambda i: _stands(words, [first, *rest], i))
 
 
+def _may_hold(text: Column, phrases: list[str]) -> Column:
+    """False only for texts that hold none of the phrases: they lack each one's longest word, or, where that is very
+    short, the phrase as a pattern. Nothing is counted without a whole phrase, so other texts need not be cut up."""
+    longest = {max(p.split(), key=len) for p in phrases}
+    lowered = F.lower(text)
+    out = [lowered.contains(w) for w in sorted(longest) if len(w) >= 4]
+    gap = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+    out += [F.rlike(text, F.lit("(?i)" + gap.join(p.split()))) for p in sorted(set(phrases)) if max(map(len, p.split())) < 4]
+    return reduce(lambda a, b: a | b, out)
+
+
 def license_scan(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES, rarest: float = 0.35, enough: float = 0.75
 ) -> DataFrame:
@@ -93,9 +105,7 @@ def license_scan(
     """
     rare = index(templates, rarest)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    edge = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]"
-    any_of = sorted({*rare, *(p.split()[-1] for p, _ in BASE), *(p.split()[0] for p, _ in BASE)})
-    seen = F.rlike(text, F.lit(f"(?i)(?<!{edge})(?:{'|'.join(any_of)})(?!{edge})"))
+    seen = _may_hold(text, [*(p for p, _ in BASE), *(p for t in templates for p in t.phrases)])
     none = F.array().cast("array<string>")
     words = F.when(seen, F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(_RAW_WORD), F.lit(0))).otherwise(none)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.regexp_count(text, F.lit(_RAW_WORD)).cast("long").alias("n_words"), words.alias("words"))
