@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from plumbline.plans import check_queries  # noqa: F401
+from plumbline.plans.base import ORACLE_SQL, QUERIES
+
+FLAGSHIP = "check_suite"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
