@@ -120,14 +120,14 @@ def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT 'part' AS table_name, count(*) FILTER (WHERE length(p_brand) <> 8)::BIGINT AS bad_length, count(*) FILTER (WHERE NOT regexp_matches(p_brand, '^Brand#[1-4][0-9]$'))::BIGINT AS bad_pattern,
+    """SELECT 'part' AS table_name, count(*) FILTER (WHERE length(p_brand) <> 8)::BIGINT AS bad_length, count(*) FILTER (WHERE NOT regexp_matches(p_brand, '^Brand#[1-4]?[0-9]$'))::BIGINT AS bad_pattern,
  count(*) FILTER (WHERE p_size < 40 AND length(p_name) NOT BETWEEN 5 AND 12)::BIGINT AS bad_conditional FROM part"""
 )
 def length_and_regex_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").agg(
         F.lit("part").alias("table_name"),
         F.count_if(F.length("p_brand") != 8).alias("bad_length"),
-        F.count_if(~F.col("p_brand").rlike("^Brand#[1-4][0-9]$")).alias("bad_pattern"),
+        F.count_if(~F.col("p_brand").rlike("^Brand#[1-4]?[0-9]$")).alias("bad_pattern"),
         F.count_if((F.col("p_size") < 40) & ~F.length("p_name").between(5, 12)).alias("bad_conditional"),
     )
 
@@ -193,15 +193,15 @@ def l1_l2_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH p AS (SELECT p_partkey, p_name, replace(p_type, ' ', CASE WHEN p_size % 10 = 0 THEN '_' ELSE ' ' END) AS kind FROM part)
-SELECT p_partkey AS id, 'p_name' AS field, 'contains 77' AS issue, p_name AS value FROM p WHERE contains(lower(p_name), '77')
-UNION ALL SELECT p_partkey, 'kind', 'contains brass', kind FROM p WHERE contains(lower(kind), 'brass')
+    """WITH p AS (SELECT p_partkey, p_brand, replace(p_name, ' ', CASE WHEN p_size % 10 = 0 THEN '_' ELSE ' ' END) AS kind FROM part)
+SELECT p_partkey AS id, 'p_brand' AS field, 'contains #17' AS issue, p_brand AS value FROM p WHERE contains(lower(p_brand), '#17')
+UNION ALL SELECT p_partkey, 'kind', 'contains Widget', kind FROM p WHERE contains(lower(kind), 'widget')
 UNION ALL SELECT p_partkey, 'kind', 'contains marker', kind FROM p WHERE contains(kind, '_')"""
 )
 def code_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.when(F.col("p_size") % 10 == 0, F.replace("p_type", F.lit(" "), F.lit("_"))).otherwise(F.col("p_type")).alias("kind"))
-    out = rl.code_leakage(rows, "p_partkey", ["kind"], ["brass"])
-    return out.unionByName(rl.code_leakage(rows, "p_partkey", ["p_name"], ["77"], marker=None))
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.when(F.col("p_size") % 10 == 0, F.replace("p_name", F.lit(" "), F.lit("_"))).otherwise(F.col("p_name")).alias("kind"))
+    out = rl.code_leakage(rows, "p_partkey", ["kind"], ["Widget"])
+    return out.unionByName(rl.code_leakage(rows, "p_partkey", ["p_brand"], ["#17"], marker=None))
 
 
 MAPPED_SQL = f"""k AS (SELECT src_code, min(l1_code) AS l1 FROM {values(SEED, SEED_COLUMNS, SEED_TYPES)} GROUP BY src_code),
@@ -240,12 +240,12 @@ def fallback_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH c AS (SELECT DISTINCT split_part(p_type, ' ', 1) AS code, split_part(p_type, ' ', 3) AS up FROM part), s AS (SELECT DISTINCT src_code FROM {values(SEED, SEED_COLUMNS, SEED_TYPES)})
+    f"""WITH c AS (SELECT DISTINCT split_part(p_type, ' ', 1) AS code, upper(split_part(p_name, ' ', 1)) AS up FROM part), s AS (SELECT DISTINCT src_code FROM {values(SEED, SEED_COLUMNS, SEED_TYPES)})
 SELECT 'MISSING_CODE' AS issue, code, count(DISTINCT code) AS affected FROM c WHERE code NOT IN (SELECT src_code FROM s) GROUP BY code
 UNION ALL SELECT 'MISSING_PARENT', up, count(DISTINCT code) FROM c WHERE up NOT IN (SELECT src_code FROM s) AND up NOT IN (SELECT code FROM c) GROUP BY up"""
 )
 def seed_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").select(F.split_part("p_type", F.lit(" "), F.lit(1)).alias("code"), F.split_part("p_type", F.lit(" "), F.lit(3)).alias("up"))
+    rows = table(spark, sf_dir, "part").select(F.split_part("p_type", F.lit(" "), F.lit(1)).alias("code"), F.upper(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("up"))
     return rl.seed_gaps(rows, "code", "up", frame(spark, SEED, SEED_COLUMNS, SEED_TYPES), "src_code")
 
 
