@@ -198,7 +198,7 @@ def run(df: DataFrame, checks: list[Check], table: str = "") -> DataFrame:
         )
         parts.append(wide.select(F.inline(rows)))
     if bad:
-        parts.append(df.sparkSession.createDataFrame(bad, parts[0].schema if parts else "table_name string, check_name string, category string, severity string, observed double, base_rows bigint, status string, error string"))
+        parts.append(df.sparkSession.createDataFrame(bad, "table_name string, check_name string, category string, severity string, observed double, base_rows bigint, status string, error string"))
     return reduce(DataFrame.unionByName, parts)
 
 
