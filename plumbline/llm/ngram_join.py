@@ -58,10 +58,10 @@ def shingles(text: str | None, words: int = 5) -> np.ndarray:
 
 
 class Rule:
-    """The lengths that follow from a similarity of per_cent / 100."""
+    """The lengths that follow from a similarity of per_cent / 100, for the first prefixes and for whole sets."""
 
-    def __init__(self, per_cent: int):
-        self.per_cent = per_cent
+    def __init__(self, per_cent: int, whole: bool = False):
+        self.per_cent, self.whole = per_cent, whole
 
     def need(self, n):
         return -(-n * self.per_cent // 100)
@@ -71,11 +71,11 @@ class Rule:
         return np.maximum(1, n // 10)
 
     def prefix(self, n):
-        return np.minimum(n, n - self.need(n) + self.wanted(n))
+        return n if self.whole else np.minimum(n, n - self.need(n) + self.wanted(n))
 
     def least(self, n):
-        """Shared shingles in the prefix with any partner, of which the shortest has need(n) shingles."""
-        return self.wanted(self.need(n))
+        """Shared shingles with any partner; in a first prefix, with the shortest one, of need(n) shingles."""
+        return self.need(n) if self.whole else self.wanted(self.need(n))
 
 
 def _node(key: bytes | None) -> int | None:
@@ -95,66 +95,87 @@ _SECOND_ARROW = [*_FIRST_ARROW[:-1], ("seen", pa.binary())]
 
 
 def _fragment_of(tokens: np.ndarray, fragments: int) -> np.ndarray:
-    """Ranges of the order: most prefixes lie in its first two fifths, which are cut evenly."""
-    step = np.uint64(max(1, int((1 << 64) * 0.4) // max(1, fragments - 1)))
-    return np.minimum(tokens // step, np.uint64(fragments - 1)).astype(np.int64)
+    """Ranges of the order: the first prefixes lie in its first two fifths, so half of the fragments are cut from these."""
+    low = np.uint64(int((1 << 64) * 0.4))
+    half = fragments // 2
+    first = tokens // (low // np.uint64(half) + np.uint64(1))
+    rest = (np.maximum(tokens, low) - low) // (np.uint64((1 << 64) - 1 - int(low)) // np.uint64(fragments - half) + np.uint64(1)) + np.uint64(half)
+    return np.where(tokens < low, first, rest).astype(np.int64)
 
 
 def _packed(classes, sizes, counts, tokens) -> dict:
     return {"classes": classes.astype("<u8").tobytes(), "sizes": sizes.astype("<u4").tobytes(), "counts": counts.astype("<u4").tobytes(), "tokens": tokens.astype("<u8").tobytes()}
 
 
-def _cut(batches: Iterator[pa.RecordBatch], rule: Rule, words: int, fragments: int) -> Iterator[pa.RecordBatch]:
-    """Documents to prefixes, dealt out by fragment; copies within a flush go once. Parts below 0 are dealt evenly."""
-    held: dict[int, tuple[int, np.ndarray]] = {}
-    size, spread = 0, 4 * fragments
-
-    def flush() -> list[dict]:
-        nonlocal size
-        classes = np.fromiter(held, np.uint64, len(held))
-        sizes = np.fromiter((n for n, _ in held.values()), np.int64, len(held))
-        counts = np.fromiter((len(t) for _, t in held.values()), np.int64, len(held))
-        tokens = np.concatenate([t for _, t in held.values()])
-        owner = np.repeat(np.arange(len(held)), counts)
-        held.clear()
-        size = 0
-        part = _fragment_of(tokens, fragments)
-        values, times = np.unique(tokens, return_counts=True)
-        hot = values[times >= HOT]
-        common = np.isin(tokens, hot) if len(hot) else np.zeros(len(tokens), bool)
-        out = []
-        order = np.argsort(part, kind="stable")
-        bounds = np.searchsorted(part[order], np.arange(fragments + 1))
-        hot_part = _fragment_of(hot, fragments)
-        for f in range(fragments):
-            at = order[bounds[f] : bounds[f + 1]]
-            at = at[~common[at]]
-            mine = hot[hot_part == f]
-            if len(at) or len(mine):
-                own, times_of = np.unique(owner[at], return_counts=True)
-                out.append({"part": f, "hot": mine.astype("<u8").tobytes()} | _packed(classes[own], sizes[own], times_of, tokens[at]))
-        if len(hot):
-            own, times_of = np.unique(owner[common], return_counts=True)
-            out.append({"part": -1 - int(classes[0] % np.uint64(spread))} | _packed(classes[own], sizes[own], times_of, tokens[common]))
-        return out
+def _deal(entries: list[tuple[int, int, np.ndarray]], fragments: int) -> list[dict]:
+    """(document, its set's size, shingles) to a row for each fragment. Shingles that HOT of the entries hold are only
+    named there; their holders go to parts below 0, which are dealt evenly."""
+    classes = np.fromiter((c for c, _, _ in entries), np.uint64, len(entries))
+    sizes = np.fromiter((n for _, n, _ in entries), np.int64, len(entries))
+    counts = np.fromiter((len(t) for _, _, t in entries), np.int64, len(entries))
+    tokens = np.concatenate([t for _, _, t in entries])
+    owner = np.repeat(np.arange(len(entries)), counts)
+    part = _fragment_of(tokens, fragments)
+    values, times = np.unique(tokens, return_counts=True)
+    hot = values[times >= HOT]
+    common = np.isin(tokens, hot) if len(hot) else np.zeros(len(tokens), bool)
+    out = []
+    order = np.argsort(part, kind="stable")
+    bounds = np.searchsorted(part[order], np.arange(fragments + 1))
+    hot_part = _fragment_of(hot, fragments)
+    for f in range(fragments):
+        at = order[bounds[f] : bounds[f + 1]]
+        at = at[~common[at]]
+        mine = hot[hot_part == f]
+        if len(at) or len(mine):
+            own, times_of = np.unique(owner[at], return_counts=True)
+            out.append({"part": f, "hot": mine.astype("<u8").tobytes()} | _packed(classes[own], sizes[own], times_of, tokens[at]))
+    if len(hot):
+        own, times_of = np.unique(owner[common], return_counts=True)
+        out.append({"part": -1 - int(classes[0] % np.uint64(4 * fragments))} | _packed(classes[own], sizes[own], times_of, tokens[common]))
+    return out
+
 
+def _cut(batches: Iterator[pa.RecordBatch], rule: Rule, words: int, fragments: int) -> Iterator[pa.RecordBatch]:
+    """Documents to prefixes, dealt out by fragment; copies within a flush go once."""
+    held: dict[int, tuple[int, int, np.ndarray]] = {}
+    size = 0
     for batch in batches:
         docs = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        for i, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
             found = shingles(text.as_py(), words)
             n = len(found)
             key = xxhash.xxh3_128_digest(found.tobytes()) if n else None
-            docs.append((doc_id, n, key))
+            docs.append({"part": -1 - i % (4 * fragments), "doc_id": doc_id, "n": n, "key": key, "node": _node(key)})
             if n:
                 short = _node(key) % (1 << 64)
                 if short not in held:
-                    held[short] = (n, found[: int(rule.prefix(n))])
-                    size += len(held[short][1])
-        yield _rows(_FIRST_ARROW, [{"part": -1 - i % spread, "doc_id": d, "n": n, "key": k, "node": _node(k)} for i, (d, n, k) in enumerate(docs)])
+                    held[short] = (short, n, found[: int(rule.prefix(n))])
+                    size += len(held[short][2])
+        yield _rows(_FIRST_ARROW, docs)
+        if size >= FLUSH:
+            yield _rows(_FIRST_ARROW, _deal(list(held.values()), fragments))
+            held.clear()
+            size = 0
+    if held:
+        yield _rows(_FIRST_ARROW, _deal(list(held.values()), fragments))
+
+
+def _recut(batches: Iterator[pa.RecordBatch], fragments: int) -> Iterator[pa.RecordBatch]:
+    """The candidates' whole sets, dealt out by fragment."""
+    held: list[tuple[int, int, np.ndarray]] = []
+    size = 0
+    for batch in batches:
+        for node, n, grams in zip(*(c.to_pylist() for c in batch.columns)):
+            found = np.frombuffer(grams, "<u8")
+            if len(found):
+                held.append((node % (1 << 64), n, found))
+                size += len(found)
         if size >= FLUSH:
-            yield _rows(_FIRST_ARROW, flush())
+            yield _rows(_FIRST_ARROW, _deal(held, fragments))
+            held, size = [], 0
     if held:
-        yield _rows(_FIRST_ARROW, flush())
+        yield _rows(_FIRST_ARROW, _deal(held, fragments))
 
 
 def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
@@ -206,7 +227,8 @@ def _counted(table: pa.Table, buckets: int) -> pa.Table:
 
 
 def _summed(table: pa.Table, rule: Rule) -> pa.Table:
-    """Partial counts summed per document; those that can have a partner, with their rarest shared shingles."""
+    """Partial counts summed per document; those that can have a partner, with their rarest shared shingles, before
+    which ``skip`` of their own stand in the order."""
     classes, sizes, counts = (_joined(table.column(x), k) for x, k in (("classes", "<u8"), ("sizes", "<u4"), ("counts", "<u4")))
     tokens, seen = _joined(table.column("tokens"), "<u8"), _joined(table.column("seen"), "<u4")
     own, n = np.repeat(classes, counts), np.repeat(sizes, counts).astype(np.int64)
@@ -220,26 +242,26 @@ def _summed(table: pa.Table, rule: Rule) -> pa.Table:
     prefix, least = rule.prefix(n), rule.least(n)
     take = np.minimum(shared, prefix - least + 1 - (prefix - shared))
     ok = (take > 0) & (shared >= least)
-    ids, first, n, take = ids[ok], first[ok], n[ok], take[ok]
+    ids, first, n, take, skip = ids[ok], first[ok], n[ok], take[ok], (prefix - shared)[ok]
     values = np.concatenate([tokens[a : a + t] for a, t in zip(first, take)]) if len(ids) else np.empty(0, np.uint64)
     ends = np.concatenate([[0], np.cumsum(take)]).astype(np.int32)
-    return pa.table([pa.array(ids.view(np.int64)), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))], names=["node", "n", "tokens"])
+    return pa.table([pa.array(ids.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(skip.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))], names=["node", "n", "skip", "tokens"])
 
 
 def _whole(batches: Iterator[pa.RecordBatch], words: int, cuts: int) -> Iterator[pa.RecordBatch]:
     """Candidates' whole sets, a row for each fragment of the order."""
-    names = ["node", "cut", "grams"]
+    names = ["node", "n", "cut", "grams"]
     for batch in batches:
-        rows = ([], [], [])
+        rows = ([], [], [], [])
         for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             found = shingles(text.as_py(), words)
             if not len(found) or _node(xxhash.xxh3_128_digest(found.tobytes())) != node:
                 continue
             at = np.searchsorted(found, np.arange(1, cuts, dtype=np.uint64) * np.uint64((1 << 64) // cuts))
             for c, piece in enumerate(np.split(found, at)):
-                for out, x in zip(rows, (node, c, piece.astype("<u8").tobytes())):
+                for out, x in zip(rows, (node, len(found), c, piece.astype("<u8").tobytes())):
                     out.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=names)
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +282,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, per_cent: int, cuts: int) -> Data
 
 
 def ngram_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, per_cent: int = 75, cuts: int = 4, star_rounds: int = 6
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, per_cent: int = 75, cuts: int = 4, star_rounds: int = 4
 ) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of per_cent / 100 or more.
 
@@ -275,30 +297,30 @@ def ngram_components(
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tokens = size / 6 * (1 - per_cent / 100 + 0.1)
-    fragments = max(4, math.ceil(tokens / FRAGMENT))
+    fragments = max(4, math.ceil(2 * tokens / FRAGMENT))
     buckets = max(4, math.ceil(tokens / BUCKET))
     first = source.mapInArrow(lambda it: _cut(it, rule, words, fragments), _FIRST)
     counted = written(first.groupBy("part").applyInArrow(lambda t: _counted(t, buckets), _SECOND), "ngram-fragments")
     ids = counted.filter(F.col("n").isNotNull()).select("doc_id", "n", "key", "node")
-    cands = written(
-        counted.filter(F.col("classes").isNotNull())
-        .select("part", "classes", "sizes", "counts", "tokens", "seen")
-        .groupBy("part")
-        .applyInArrow(lambda t: _summed(t, rule), "node long, n int, tokens array<long>"),
-        "ngram-candidates",
-    )
+    cands = written(_candidates(counted, rule).select("node"), "ngram-first")
     nodes = ids.filter(F.col("key").isNotNull()).groupBy("key", "node").agg(F.min("doc_id").alias("first_id"))
-    found = nodes.join(cands.select("node"), "node", "left_semi").select(F.col("first_id").alias("doc_id"), "node")
-    if cands.count() <= 1_000_000:  # 24 MB at most
+    found = nodes.join(cands, "node", "left_semi").select(F.col("first_id").alias("doc_id"), "node")
+    if cands.count() <= 1_000_000:  # 16 MB at most
         found = F.broadcast(found)
-    sets = written(
-        source.join(found, "doc_id").select("node", "text").mapInArrow(lambda it: _whole(it, words, cuts), "node long, cut int, grams binary").dropDuplicates(["node", "cut"]),
-        "ngram-sets",
-    )
+    whole = source.join(found, "doc_id").select("node", "text").mapInArrow(lambda it: _whole(it, words, cuts), "node long, n int, cut int, grams binary")
+    sets = written(whole.dropDuplicates(["node", "cut"]), "ngram-sets")
+    again = sets.select("node", "n", "grams").mapInArrow(lambda it: _recut(it, fragments), _FIRST)
+    second = again.groupBy("part").applyInArrow(lambda t: _counted(t, buckets), _SECOND)
+    cands = written(_candidates(second, Rule(per_cent, whole=True)), "ngram-candidates")
     links = _all_links(cands, sets, per_cent, cuts, star_rounds)
     return _answer(ids, nodes, links)
 
 
+def _candidates(counted: DataFrame, rule: Rule) -> DataFrame:
+    packed = counted.filter(F.col("classes").isNotNull()).select("part", "classes", "sizes", "counts", "tokens", "seen")
+    return packed.groupBy("part").applyInArrow(lambda t: _summed(t, rule), "node long, n int, skip int, tokens array<long>")
+
+
 def _answer(ids: DataFrame, nodes: DataFrame, comps: DataFrame | None) -> DataFrame:
     named = nodes.select("key", "node", "first_id")
     if comps is not None:
@@ -314,30 +336,41 @@ def _answer(ids: DataFrame, nodes: DataFrame, comps: DataFrame | None) -> DataFr
 def _all_links(cands: DataFrame, sets: DataFrame, per_cent: int, cuts: int, star_rounds: int) -> DataFrame | None:
     """Components of the candidates.
 
-    Each round tests, for every shingle's list of documents, its hub against the others (as many pairs as postings) and
-    merges what links; lists within one component are done. When the pairs between different components are few, or
-    after star_rounds, all of them are tested.
+    Each round tests, for every shingle's list of documents, a hub (after the first round, another one for each shingle)
+    against the others, as many pairs as postings, and merges what links; lists within one component are done. When the pairs between different components are few beside
+    the postings (places and lengths rule most of them out as they meet), or after star_rounds, all of them are tested.
     """
-    listed = written(cands.select(F.explode("tokens").alias("token"), "node", "n"), "ngram-lists")
+    place = (F.col("skip") + F.col("i")).alias("place")
+    listed = written(cands.select("node", "n", "skip", F.posexplode("tokens").alias("i", "token")).select("token", "node", "n", place), "ngram-lists")
+    postings = listed.count()
     edges = tested = comps = None
-    fits = lambda a, b: (F.least(a, b) * 100) >= F.greatest(a, b) * per_cent
+
+    def fits(a: str, b: str):
+        """Lengths, and what can follow in both after a first common shingle at these places."""
+        (an, ap), (bn, bp) = ((F.col(f"{x}n"), F.col(f"{x}place")) for x in (a, b))
+        return (F.least(an, bn) * 100 >= F.greatest(an, bn) * per_cent) & (F.least(an - ap, bn - bp) * (100 + per_cent) >= (an + bn) * per_cent)
+
+    open_ = listed.withColumn("component", F.col("node"))
     for turn in range(star_rounds + 1):
-        now = listed if comps is None else listed.join(comps, "node", "left")
-        now = now.withColumn("component", F.col("node") if comps is None else F.coalesce("component", "node"))
-        spans = now.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"))
-        open_ = written(now.join(spans.filter("low <> high").select("token"), "token", "left_semi"), "ngram-open")
+        if comps is not None:
+            before, open_ = open_, open_.drop("component").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        spans = open_.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        open_ = written(open_.join(spans.filter("low <> high").select("token"), "token", "left_semi"), "ngram-open")
+        dropped(before if comps is not None else listed)
         groups = open_.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"))
         left = groups.groupBy("token").agg((F.pow(F.sum("c"), 2) - F.sum(F.col("c") * F.col("c"))).alias("p")).agg(F.sum("p") / 2, F.count(F.lit(1))).first()
         if not left[1]:
             break
-        full = turn == star_rounds or (turn > 0 and left[0] <= 200_000) or left[0] <= 20_000
-        a, b = open_.alias("a"), open_.alias("b")
+        full = turn == star_rounds or left[0] <= max(20_000, (1, 8, 256)[min(turn, 2)] * postings)
         if full:
-            pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.component") != F.col("b.component")) & (F.col("a.node") < F.col("b.node")) & fits(F.col("a.n"), F.col("b.n")))
+            a, b = open_.alias("a"), open_.alias("b")
+            pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.component") != F.col("b.component")) & (F.col("a.node") < F.col("b.node")) & fits("a.", "b."))
             pairs = pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.col("a.n").alias("un"), F.col("b.n").alias("vn"))
         else:
-            hubs = open_.groupBy("token").agg(F.min_by(F.struct("node", "n", "component"), F.xxhash64(F.lit(turn), "component", "node")).alias("hub"))
-            pairs = open_.join(hubs, "token").filter((F.col("hub.component") != F.col("component")) & fits(F.col("n"), F.col("hub.n")))
+            pick = F.xxhash64(F.lit(turn), F.col("token") if turn else F.lit(0), "node")
+            pick = F.struct("place", pick) if turn % 2 else pick  # most can follow after an early place
+            hubs = open_.groupBy("token").agg(F.min_by(F.struct("node", "n", "place", "component"), pick).alias("hub"))
+            pairs = open_.join(hubs, "token").filter((F.col("hub.component") != F.col("component")) & fits("", "hub."))
             swap = F.col("hub.node") < F.col("node")
             pairs = pairs.select(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v"), F.when(swap, F.col("hub.n")).otherwise(F.col("n")).alias("un"), F.when(swap, F.col("n")).otherwise(F.col("hub.n")).alias("vn"))
         pairs = pairs.distinct()
@@ -347,7 +380,6 @@ def _all_links(cands: DataFrame, sets: DataFrame, per_cent: int, cuts: int, star
         new = written(_linked(pairs, sets, per_cent, cuts), "ngram-links")
         tested = pairs.select("u", "v") if tested is None else tested.unionByName(pairs.select("u", "v"))
         edges = new if edges is None else edges.unionByName(new)
-        dropped(open_)
         if not new.isEmpty():
             comps = components(edges)
         if full:
