@@ -12,7 +12,7 @@ from .chat_format import preference_pairs
 from .embedding_dedup import embedding_components
 from .exact_dedup import exact_duplicates
 from .language_id import identify, page_parts, train
-from .license_scan import license_scan
+from .license_scan import BASE, TEMPLATES, license_scan
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .ngram_join import ngram_components
@@ -87,7 +87,46 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_chat_format": op10_chat_format,
 }
+def _license_sql() -> str:
+    """Every place of every base and key phrase; each place of a key phrase proposes one alignment of its template."""
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words.split()) + "]"
+    base = ", ".join(f"('{p}', {quoted(p)}, '{label}')" for p, label in BASE)
+    keys = []
+    for t in TEMPLATES:
+        own = t.words.split()
+        for phrase in t.phrases:
+            n = len(phrase.split())
+            at = next(i for i in range(len(own)) if own[i : i + n] == phrase.split())
+            keys.append(f"('{t.label}', {quoted(t.words)}, {quoted(phrase)}, {at})")
+    return f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents),
+b(phrase, p, label) AS (VALUES {base}), k(label, own, p, place) AS (VALUES {', '.join(keys)}),
+i AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+places AS (SELECT doc_id, i.i - 1 AS i, label FROM i JOIN b ON w[i.i] = p[1] AND w[i.i:i.i + len(p) - 1] = p),
+aligned AS (SELECT doc_id, w, label, own, i.i - 1 - place AS off FROM i JOIN k ON w[i.i] = p[1] AND w[i.i:i.i + len(p) - 1] = p),
+shares AS (SELECT doc_id, label, len(list_filter(range(1, len(own) + 1), lambda j: off + j >= 1 AND w[greatest(off + j, 1)] = own[j]))::DOUBLE / len(own) AS share FROM aligned),
+found AS (SELECT * FROM shares WHERE share >= 0.75),
+bases AS (SELECT doc_id, count(*) AS n, min(i) AS a, max(i) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY doc_id),
+every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM places UNION ALL SELECT doc_id, label FROM found) GROUP BY doc_id),
+best AS (SELECT doc_id, max(share) AS share FROM found GROUP BY doc_id)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, b.a AS first_word, b.z AS last_word, coalesce(b.labels, '') AS base_labels, coalesce(e.labels, '') AS labels,
+       coalesce(s.share, CASE WHEN b.n > 0 THEN 0.5 END, 0.0)::DOUBLE AS score
+FROM w LEFT JOIN bases b USING (doc_id) LEFT JOIN every e USING (doc_id) LEFT JOIN best s USING (doc_id)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_ngram_jaccard_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                          ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM w),
+e AS MATERIALIZED (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, any_value(a.n) AS un, any_value(b.n) AS vn, count(*) AS k FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS MATERIALIZED (SELECT u, v FROM p WHERE 100 * k >= 75 * (un + vn - k)),
+r(u, v) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u),
+c AS (SELECT u, min(v) AS c FROM r GROUP BY u)
+SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, c.c AS component_id FROM s JOIN c ON s.doc_id = c.u""",
+    "op8_license_scan": _license_sql(),
     "op1_mix_sources": r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,

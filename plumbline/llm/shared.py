@@ -12,16 +12,33 @@ SIGNED = 1 << 63
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; where it is unset, as in tests, a temporary one."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; where it is unset, a temporary one, on one machine
+    only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="plumbline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/plumbline/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes everything that this application has written to the shared folder, once its results are stored."""
+    _delete(spark, _own_dir(spark))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -38,9 +55,7 @@ def dropped(df: DataFrame) -> None:
     """Removes what written() wrote, once nothing reads it any more."""
     path = df.__dict__.get("_plumbline_path")
     if path:
-        spark = df.sparkSession
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(df.sparkSession, path)
 
 
 def signed(value: int) -> int:

@@ -289,3 +289,17 @@ def test_pipeline_stages_against_brute_force(spark):
 def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, SMALL)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 100
+
+
+def test_shared_folder_is_cleared(spark):
+    from plumbline.llm.shared import clear, dropped, new_path, written
+
+    kept, gone = written(spark.range(3), "x"), written(spark.range(4), "y")
+    assert kept.count() == 3 and gone.count() == 4
+    dropped(gone)
+    at = spark._jvm.org.apache.hadoop.fs.Path(new_path(spark, "z")).getParent()
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(at)]
+    assert any(n.startswith("x-") for n in names) and not any(n.startswith("y-") for n in names)
+    clear(spark)
+    assert not fs.exists(at)
