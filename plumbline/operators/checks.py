@@ -55,7 +55,8 @@ def not_null(column: str) -> Check:
 
 def accepted(column: str, values: list, kind: str = "accepted_values") -> Check:
     """Null passes. Values are compared as texts, so that a set may mix types."""
-    return Check(f"{kind}_{column}", "Validity", (column,), ok=F.lower(F.col(column).cast("string")).isin([str(v).lower() for v in values]) if any(isinstance(v, bool) for v in values) else F.col(column).cast("string").isin([str(v) for v in values]))
+    texts = [str(v).lower() if isinstance(v, bool) else str(v) for v in values]
+    return Check(f"{kind}_{column}", "Validity", (column,), ok=F.col(column).cast("string").isin(texts))
 
 
 def in_set(column: str, values: list) -> Check:
