@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, written
+from .shared import components, grouped, small_batches, streamed, written
 
 BLOCKS, GRID, SEED = 8, 3, 7
 #: Vectors in a cell beyond which its rows and columns are split; entries a task should get; vectors of a flush.
@@ -202,10 +202,6 @@ def _verified(table: pa.Table, plan: Plan) -> pa.Table:
     return pa.table([pa.array(u.astype(np.int64)), pa.array(v.astype(np.int64)), pa.array(n.astype(np.int64))], names=["u", "v", "n"])
 
 
-def _verifier(plan: Plan):
-    return lambda table: _verified(table, plan)
-
-
 def embedding_components(
     table: DataFrame, cosine: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", blocks: int = BLOCKS, grid: int = GRID
 ) -> DataFrame:
@@ -219,6 +215,7 @@ def embedding_components(
     ignored; an empty table gives an empty result. n_links needs every linked pair looked at, so time, though not
     memory or rows, grows with the square of a group of different near copies.
     """
+    small_batches(table.sparkSession)
     vector = F.col("vector")
     good = vector.isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(vector, lambda v: v != 0)
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<float>").alias("vector"))
@@ -230,14 +227,14 @@ def embedding_components(
     for dim in sorted(r["dim"] for r in classes.select("dim").distinct().collect()):  # one or a few model dimensions
         plan = Plan(dim, cosine, blocks, grid)
         mine = classes.filter(F.col("dim") == dim)
-        crowd = mine.select("vector", "label").mapInArrow(lambda it, p=plan: _crowd(it, p), "cell long, times long")
+        crowd = mine.select("vector", "label").mapInArrow(streamed(_crowd, plan), "cell long, times long")
         crowd = crowd.groupBy("cell").agg(F.sum("times").alias("times")).filter(F.col("times") > CELL).collect()  # at most blocks rows in CELL vectors
         crowded = {r["cell"] % (1 << 64): -(-r["times"] // CELL) for r in crowd}
         buckets = max(4, -(-mine.count() * plan.blocks * (1 + 2**grid) // BUCKET))
         dealt = mine.select("node", "label", "weight", "vector").mapInArrow(
-            lambda it, p=plan, n=buckets, c=crowded: _dealt(it, p, n, c), "bucket int, ids binary, weights binary, vectors binary, owners binary, cells binary, blocks binary, home binary"
+            streamed(_dealt, plan, buckets, crowded), "bucket int, ids binary, weights binary, vectors binary, owners binary, cells binary, blocks binary, home binary"
         )
-        part = dealt.groupBy("bucket").applyInArrow(_verifier(plan), "u long, v long, n long")
+        part = dealt.groupBy("bucket").applyInArrow(grouped(_verified, plan), "u long, v long, n long")
         found = part if found is None else found.unionByName(part)
     if found is None:
         nodes = classes.select("label", "vector", "weight", "first_id", F.lit(0).cast("long").alias("n"), F.col("first_id").alias("component_id"))

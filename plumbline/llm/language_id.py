@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import grouped, small_batches, streamed, written
 
 #: Hash places for trigrams; bytes handled at a time for one language.
-PLACES, CHUNK = 1 << 15, 8_000_000
+PLACES, CHUNK = 1 << 15, 2_000_000
 #: Languages that a model has at most: the most frequent labels.
 MOST_LANGUAGES = 64
 #: Hosts up to which their priors are broadcast.
@@ -83,12 +83,13 @@ class Model:
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", smoothing: float = 0.5) -> Model:
     """Trigram shares of each label over all labelled rows; a task sends one row of counts for each language."""
+    small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(F.col("lang").isNotNull())
     found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
     languages = sorted(r["lang"] for r in found)
     if not languages:
         return Model(["und"], np.zeros((1, PLACES), np.float32))
-    counts = rows.mapInArrow(lambda it: _tallied(it, languages), "language int, counts binary").groupBy("language").applyInArrow(_added, "language int, counts binary")
+    counts = rows.mapInArrow(streamed(_tallied, languages), "language int, counts binary").groupBy("language").applyInArrow(grouped(_added), "language int, counts binary")
     total = np.zeros((len(languages), PLACES))
     for r in counts.collect():  # one row of PLACES counts for each language
         total[r["language"]] = np.frombuffer(r["counts"], "<i8")
@@ -101,7 +102,7 @@ def _scored(batches: Iterator[pa.RecordBatch], weights) -> Iterator[pa.RecordBat
     names = ["row", "likelihood", "n_trigrams"]
     for batch in batches:
         score, n = np.zeros((batch.num_rows, table.shape[1])), np.zeros(batch.num_rows, np.int64)
-        for row, code in _trigrams(batch.column(1), max(100_000, CHUNK // table.shape[1])):
+        for row, code in _trigrams(batch.column(1), max(20_000, CHUNK // table.shape[1])):
             if len(row):
                 at = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
                 score[row[at]] += np.add.reduceat(table[code], at, axis=0, dtype=np.float64)
@@ -152,6 +153,7 @@ def identify(
     Rows that repeat are judged row by row; other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     weights = spark.sparkContext.broadcast(model.weights)  # languages times PLACES floats: 8 MB at most
     names, size = model.languages, len(model.languages)
     col = lambda c: F.lit(None).cast("string") if c is None else F.lower(F.col(c).cast("string"))
@@ -159,7 +161,7 @@ def identify(
     row = F.struct(F.struct(*keep).alias("kept"), host.alias("host"), domain.alias("domain"), col(declared_col).alias("declared"), col(suffix_col).alias("suffix"))
     source = docs.select(row.alias("row"), F.col(text_col).cast("string").alias("text"))
     kind = f"row {source.schema['row'].dataType.simpleString()}, likelihood array<double>, n_trigrams long"
-    rows = source.mapInArrow(lambda it: _scored(it, weights), kind).select("row.*", "likelihood", "n_trigrams")
+    rows = source.mapInArrow(streamed(_scored, weights), kind).select("row.*", "likelihood", "n_trigrams")
     scale = 1 / (1 + F.col("n_trigrams") / evidence_cap)
     text = F.transform("likelihood", lambda x: x * scale)
     said = _evidence(names, F.col("declared"), {n: n for n in names}, declared_trust)

@@ -17,13 +17,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import grouped, small_batches, streamed, written
 
 _BLANKS = b" \t\n\x0b\x0c\r"
 #: The filters' size: 16 bits for each line expected, up to MOST_BITS (32 MB, what is broadcast). Beyond that the filters
 #: fill up and more lines are suspected, which costs shuffle and loses nothing.
 MOST_BITS, BLOCK_BITS, HASHES = 1 << 28, 1 << 20, 2
-_FLUSH = 4_000_000
+_FLUSH = 2_000_000
 _LAST = (1 << 63) - 1
 
 
@@ -129,8 +129,8 @@ def twice_seen(source: DataFrame, least: int) -> tuple[bytes, int]:
     """The second filter over all lines of ``text``, and its size in bits."""
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MOST_BITS, max(BLOCK_BITS, 1 << math.ceil(math.log2(total / 64 * 16 + 1))))
-    blocks = source.select("text").mapInArrow(lambda it: _filled(it, bits, least), "block int, once binary, twice binary")
-    merged = blocks.groupBy("block").applyInArrow(_merged, "block int, bits binary")
+    blocks = source.select("text").mapInArrow(streamed(_filled, bits, least), "block int, once binary, twice binary")
+    merged = blocks.groupBy("block").applyInArrow(grouped(_merged), "block int, bits binary")
     out = bytearray(bits // 8)
     for row in merged.toLocalIterator():  # bits / 8 bytes in all
         out[row["block"] * BLOCK_BITS // 8 : (row["block"] + 1) * BLOCK_BITS // 8] = row["bits"]
@@ -146,13 +146,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     last. Columns of docs that have one of the added names are replaced; others pass unchanged; an empty table stays
     empty. Keys are confirmed by their 128-bit digests.
     """
+    small_batches(docs.sparkSession)
     others = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")]
     source = docs.select(F.struct(*others).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known, bits = twice_seen(source, least)
     twice = docs.sparkSession.sparkContext.broadcast(known)
-    suspects = written(source.select("doc_id", "text").mapInArrow(lambda it: _suspected(it, twice, bits, least), "doc_id long, key binary"), "line-suspects")
+    suspects = written(source.select("doc_id", "text").mapInArrow(streamed(_suspected, twice, bits, least), "doc_id long, key binary"), "line-suspects")
     repeated = suspects.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
     drops = suspects.join(repeated, "key").filter("doc_id <> first").groupBy("doc_id").agg(F.collect_set("key").alias("drops"))
     made = source.join(drops, "doc_id", "left").select("row", "text", "drops")
-    out = made.mapInArrow(lambda it: _rebuilt(it, least), f"row {source.schema['row'].dataType.simpleString()}, kept_text string, n_lines long, n_dropped long")
+    out = made.mapInArrow(streamed(_rebuilt, least), f"row {source.schema['row'].dataType.simpleString()}, kept_text string, n_lines long, n_dropped long")
     return out.select(*[F.col("row").getField(c).alias(c) for c in others], "kept_text", "n_lines", "n_dropped")

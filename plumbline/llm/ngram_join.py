@@ -24,16 +24,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, dropped, written
+from .shared import components, dropped, grouped, small_batches, streamed, written
 
 #: Odd multipliers, one for each place in a shingle.
 _PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 #: A flush of the map side: that many shingles at most, or one document.
-FLUSH = 1_500_000
+FLUSH = 600_000
 #: Shingles that so many different documents of one flush hold are sent as counted, without their documents.
 HOT = 64
 #: Shingles a fragment should hold, and candidate documents a bucket should hold.
-FRAGMENT, BUCKET = 3_000_000, 1_500_000
+FRAGMENT, BUCKET = 1_200_000, 600_000
 _COMMON = 0xFFFFFFFF
 
 
@@ -150,7 +150,7 @@ def _cut(batches: Iterator[pa.RecordBatch], rule: Rule, words: int, fragments: i
             if n:
                 short = _node(key) % (1 << 64)
                 if short not in held:
-                    held[short] = (short, n, found[: int(rule.prefix(n))])
+                    held[short] = (short, n, found[: int(rule.prefix(n))].copy())
                     size += len(held[short][2])
         yield _rows(_FIRST_ARROW, docs)
         if size >= FLUSH:
@@ -276,7 +276,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, per_cent: int, cuts: int) -> Data
     cut = pairs.select("u", "v", F.explode(F.array(*map(F.lit, range(cuts)))).alias("cut"))
     left = cut.join(sets.select(F.col("node").alias("u"), "cut", F.col("grams").alias("a")), ["u", "cut"])
     both = left.join(sets.select(F.col("node").alias("v"), "cut", F.col("grams").alias("b")), ["v", "cut"])
-    parts = both.select("u", "v", "a", "b").mapInArrow(_overlaps, "u long, v long, both long")
+    parts = both.select("u", "v", "a", "b").mapInArrow(streamed(_overlaps), "u long, v long, both long")
     total = parts.groupBy("u", "v").agg(F.sum("both").alias("both")).join(pairs, ["u", "v"])
     return total.filter(F.col("both") * 100 >= (F.col("un") + F.col("vn") - F.col("both")) * per_cent).select("u", "v")
 
@@ -293,24 +293,25 @@ def ngram_components(
     nothing; ids that repeat count as one document whose rows share their links; other columns are ignored; an empty
     table gives an empty result; a null id is kept and never the smallest.
     """
+    small_batches(docs.sparkSession)
     rule = Rule(per_cent)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tokens = size / 6 * (1 - per_cent / 100 + 0.1)
     fragments = max(4, math.ceil(2 * tokens / FRAGMENT))
     buckets = max(4, math.ceil(tokens / BUCKET))
-    first = source.mapInArrow(lambda it: _cut(it, rule, words, fragments), _FIRST)
-    counted = written(first.groupBy("part").applyInArrow(lambda t: _counted(t, buckets), _SECOND), "ngram-fragments")
+    first = source.mapInArrow(streamed(_cut, rule, words, fragments), _FIRST)
+    counted = written(first.groupBy("part").applyInArrow(grouped(_counted, buckets), _SECOND), "ngram-fragments")
     ids = counted.filter(F.col("n").isNotNull()).select("doc_id", "n", "key", "node")
     cands = written(_candidates(counted, rule).select("node"), "ngram-first")
     nodes = ids.filter(F.col("key").isNotNull()).groupBy("key", "node").agg(F.min("doc_id").alias("first_id"))
     found = nodes.join(cands, "node", "left_semi").select(F.col("first_id").alias("doc_id"), "node")
     if cands.count() <= 1_000_000:  # 16 MB at most
         found = F.broadcast(found)
-    whole = source.join(found, "doc_id").select("node", "text").mapInArrow(lambda it: _whole(it, words, cuts), "node long, n int, cut int, grams binary")
+    whole = source.join(found, "doc_id").select("node", "text").mapInArrow(streamed(_whole, words, cuts), "node long, n int, cut int, grams binary")
     sets = written(whole.dropDuplicates(["node", "cut"]), "ngram-sets")
-    again = sets.select("node", "n", "grams").mapInArrow(lambda it: _recut(it, fragments), _FIRST)
-    second = again.groupBy("part").applyInArrow(lambda t: _counted(t, buckets), _SECOND)
+    again = sets.select("node", "n", "grams").mapInArrow(streamed(_recut, fragments), _FIRST)
+    second = again.groupBy("part").applyInArrow(grouped(_counted, buckets), _SECOND)
     cands = written(_candidates(second, Rule(per_cent, whole=True)), "ngram-candidates")
     links = _all_links(cands, sets, per_cent, cuts, star_rounds)
     return _answer(ids, nodes, links)
@@ -318,7 +319,7 @@ def ngram_components(
 
 def _candidates(counted: DataFrame, rule: Rule) -> DataFrame:
     packed = counted.filter(F.col("classes").isNotNull()).select("part", "classes", "sizes", "counts", "tokens", "seen")
-    return packed.groupBy("part").applyInArrow(lambda t: _summed(t, rule), "node long, n int, skip int, tokens array<long>")
+    return packed.groupBy("part").applyInArrow(grouped(_summed, rule), "node long, n int, skip int, tokens array<long>")
 
 
 def _answer(ids: DataFrame, nodes: DataFrame, comps: DataFrame | None) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import grouped, small_batches, streamed, written
 from .tokens import ByteIds, loaded
 
 _MEMO: dict[str, ByteIds] = {}
@@ -164,16 +164,17 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     ids_crc32, sequence_id, offset (long). Null and empty texts are one piece with the end alone; repeated rows and ids
     are packed row by row; a null id stays null; other columns are ignored; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     raw = Path(tokenizer_path).read_bytes()
     version = hashlib.sha256(raw).hexdigest()
     content = docs.sparkSession.sparkContext.broadcast(raw)  # a vocabulary file of a few MB
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    pieces = source.mapInArrow(lambda it: _pieces(it, version, content, capacity, end), schema)
+    pieces = source.mapInArrow(streamed(_pieces, version, content, capacity, end), schema)
     pieces = written(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
     short = pieces.filter(F.col("length") < capacity)
     groups = max(1, round(short.count() / group))
     packed = short.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int")).drop("row")
-    packed = packed.groupBy("part").applyInArrow(lambda t: _packed(t, capacity), schema + ", sequence_id long, offset long")
+    packed = packed.groupBy("part").applyInArrow(grouped(_packed, capacity), schema + ", sequence_id long, offset long")
     full = pieces.filter(F.col("length") == capacity).withColumn("sequence_id", -1 - F.col("row")).withColumn("offset", F.lit(0).cast("long")).drop("row")
     return packed.unionByName(full)

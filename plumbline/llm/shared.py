@@ -2,13 +2,58 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SIGNED = 1 << 63
+#: Rows and bytes of a batch that goes to Python at most, as a batch is in memory several times at once.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def _tidy() -> None:
+    """Gives back what a worker no longer needs: it lives on after a task, beside others on its executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limits of batches for Python to ours, where they are higher."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = int(spark.conf.get(f"spark.sql.execution.arrow.{key}").rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+
+
+def streamed(f: Callable, *args) -> Callable:
+    """f over a task's batches, for mapInArrow."""
+
+    def run(batches):
+        try:
+            yield from f(batches, *args)
+        finally:
+            _tidy()
+
+    return run
+
+
+def grouped(f: Callable, *args) -> Callable:
+    """f over a group's table, for applyInArrow."""
+
+    def run(table):
+        try:
+            return f(table, *args)
+        finally:
+            _tidy()
+
+    return run
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,11 +103,6 @@ def dropped(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
-def signed(value: int) -> int:
-    """An unsigned 64-bit number as Spark's long."""
-    return value - (1 << 64) if value >= SIGNED else value
-
-
 def _turned(edges: DataFrame, both: bool) -> DataFrame:
     """One star step: every node sends what it is linked with to the smallest of them (both: over all its
     neighbours, those above it; else over the smaller ones)."""

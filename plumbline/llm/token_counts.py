@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import new_path
+from .shared import new_path, small_batches, streamed
 from .tokens import WordCounts, loaded
 
 _CACHE = "digest binary, n_tokens long, tokenizer string"
@@ -59,6 +59,7 @@ def count_tokens(
     counted row by row; other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     raw = Path(tokenizer_path).read_bytes()
     version, kind = tokenizer_version(raw), Path(tokenizer_path).suffix
     content = spark.sparkContext.broadcast(raw)  # a vocabulary file of a few MB
@@ -71,7 +72,7 @@ def count_tokens(
     spark.createDataFrame([], _CACHE).write.mode("append").parquet(path)
     cache = spark.read.schema(_CACHE).parquet(path).filter(F.col("tokenizer") == version)
     missing = distinct.join(cache, "digest", "left_anti")
-    missing.select("digest", "text").mapInArrow(lambda it: _encoded(it, version, content, kind, spaced), _CACHE).write.mode("append").parquet(path)
+    missing.select("digest", "text").mapInArrow(streamed(_encoded, version, content, kind, spaced), _CACHE).write.mode("append").parquet(path)
     known = spark.read.schema(_CACHE).parquet(path).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     out = keyed.select("doc_id", "n_bytes", "digest").join(known, "digest")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
