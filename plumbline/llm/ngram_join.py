@@ -305,10 +305,10 @@ def ngram_components(
     ids = counted.filter(F.col("n").isNotNull()).select("doc_id", "n", "key", "node")
     cands = written(_candidates(counted, rule).select("node"), "ngram-first")
     nodes = ids.filter(F.col("key").isNotNull()).groupBy("key", "node").agg(F.min("doc_id").alias("first_id"))
-    found = nodes.join(cands, "node", "left_semi").select(F.col("first_id").alias("doc_id"), "node")
+    found = nodes.join(cands, "node", "left_semi").select(F.col("first_id").alias("found_id"), "node")
     if cands.count() <= 1_000_000:  # 16 MB at most
         found = F.broadcast(found)
-    whole = source.join(found, "doc_id").select("node", "text").mapInArrow(streamed(_whole, words, cuts), "node long, n int, cut int, grams binary")
+    whole = source.join(found, F.col("doc_id").eqNullSafe(F.col("found_id"))).select("node", "text").mapInArrow(streamed(_whole, words, cuts), "node long, n int, cut int, grams binary")
     sets = written(whole.dropDuplicates(["node", "cut"]), "ngram-sets")
     again = sets.select("node", "n", "grams").mapInArrow(streamed(_recut, fragments), _FIRST)
     second = again.groupBy("part").applyInArrow(grouped(_counted, buckets), _SECOND)
@@ -356,7 +356,8 @@ def _all_links(cands: DataFrame, sets: DataFrame, per_cent: int, cuts: int, star
         if comps is not None:
             before, open_ = open_, open_.drop("component").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
         spans = open_.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        open_ = written(open_.join(spans.filter("low <> high").select("token"), "token", "left_semi"), "ngram-open")
+        spans = written(spans.filter("low <> high").select("token"), "ngram-spans")  # so that joins may split hot shingles
+        open_ = written(open_.join(spans, "token", "left_semi"), "ngram-open")
         dropped(before if comps is not None else listed)
         groups = open_.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"))
         left = groups.groupBy("token").agg((F.pow(F.sum("c"), 2) - F.sum(F.col("c") * F.col("c"))).alias("p")).agg(F.sum("p") / 2, F.count(F.lit(1))).first()
@@ -371,6 +372,7 @@ def _all_links(cands: DataFrame, sets: DataFrame, per_cent: int, cuts: int, star
             pick = F.xxhash64(F.lit(turn), F.col("token") if turn else F.lit(0), "node")
             pick = F.struct("place", pick) if turn % 2 else pick  # most can follow after an early place
             hubs = open_.groupBy("token").agg(F.min_by(F.struct("node", "n", "place", "component"), pick).alias("hub"))
+            hubs = written(hubs, "ngram-hubs")
             pairs = open_.join(hubs, "token").filter((F.col("hub.component") != F.col("component")) & fits("", "hub."))
             swap = F.col("hub.node") < F.col("node")
             pairs = pairs.select(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v"), F.when(swap, F.col("hub.n")).otherwise(F.col("n")).alias("un"), F.when(swap, F.col("n")).otherwise(F.col("hub.n")).alias("vn"))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of a batch that goes to Python at most, as a batch is in memory several times at once.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+#: Links that one task of components() may write, while there are few.
+FEW = 100_000
 
 
 def _tidy() -> None:
@@ -128,10 +130,12 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     another one. Rounds grow with the logarithm of the longest chain; the links stay distributed, and each round is
     written to the shared folder.
     """
-    now = written(edges.filter(F.col("u") != F.col("v")).select("u", "v").distinct(), name)
+    links = edges.count()
+    few = (lambda df: df.coalesce(1 + links // FEW)) if links <= 50 * FEW else (lambda df: df)  # noqa: E731  small files else
+    now = written(few(edges.filter(F.col("u") != F.col("v")).select("u", "v").distinct()), name)
     state = None
     while True:
-        after = written(_turned(_turned(now, True), False), name)
+        after = written(few(_turned(_turned(now, True), False)), name)
         dropped(now)
         now = after
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

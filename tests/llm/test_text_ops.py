@@ -58,6 +58,13 @@ def test_ngram_join_large_group_of_near_copies(spark):
     assert answer(got, "doc_id", "n_shingles", "component_id") == brute.ngram(rows)
 
 
+def test_ngram_join_null_and_repeated_ids(spark):
+    near = " ".join(f"n{i}" for i in range(40))
+    rows = [(None, near), (None, near + " x"), (7, near + " y"), (7, "other words are here " * 9), (9, near + " z"), (9, near + " z"), (None, None)]
+    got = ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in got if r.component_id) == [(0, 36, 7), (0, 37, 7), (7, 4, 7), (7, 37, 7), (9, 37, 7), (9, 37, 7)] and len(got) == 7
+
+
 def test_line_dedup(spark, edge):
     from pyspark.sql import functions as F
 
