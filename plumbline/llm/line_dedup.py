@@ -153,6 +153,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     twice = docs.sparkSession.sparkContext.broadcast(known)
     suspects = written(source.select("doc_id", "text").mapInArrow(streamed(_suspected, twice, bits, least), "doc_id long, key binary"), "line-suspects")
     repeated = suspects.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+    repeated = written(repeated, "line-repeats")  # so that the join below may split a key that many documents have
     drops = suspects.join(repeated, "key").filter("doc_id <> first").groupBy("doc_id").agg(F.collect_set("key").alias("drops"))
     made = source.join(drops, "doc_id", "left").select("row", "text", "drops")
     out = made.mapInArrow(streamed(_rebuilt, least), f"row {source.schema['row'].dataType.simpleString()}, kept_text string, n_lines long, n_dropped long")
