@@ -2,7 +2,7 @@
 
 A text's likelihood under each language (byte trigrams), the language its markup declares, its address's suffix and a
 prior for its host are multiplied. Host priors come from grouped counts: a host's are smoothed by its domain's, these by
-those of all rows.
+those of all rows. A text that none of the languages explains as well as it should its own is in none of them.
 """
 
 from __future__ import annotations
@@ -19,6 +19,10 @@ from .shared import grouped, small_batches, streamed, written
 
 #: Hash places for trigrams; bytes handled at a time for one language.
 PLACES, CHUNK = 1 << 15, 2_000_000
+#: Deviations by which a text may fall below a language's floor.
+ALLOWANCE = 2.0
+#: Characters beyond ASCII that are no letters, and marks that stand on none.
+NO_LETTERS = r"[^\p{ASCII}\p{L}\p{M}]+|(?<![\p{L}\p{M}])\p{M}+"
 #: Languages that a model has at most: the most frequent labels.
 MOST_LANGUAGES = 64
 #: Hosts up to which their priors are broadcast.
@@ -40,7 +44,7 @@ _FOLD = _folded()
 
 
 def _trigrams(text: pa.Array, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(rows, places) of all trigrams with a letter in the middle, some bytes at a time."""
+    """(rows, codes) of all trigrams with a letter in the middle, some bytes at a time."""
     text = text.cast(pa.large_string()).fill_null("")
     offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
     raw = np.frombuffer(text.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
@@ -50,22 +54,36 @@ def _trigrams(text: pa.Array, width: int) -> Iterator[tuple[np.ndarray, np.ndarr
         first = max(0, start - 1)
         if len(piece) < 3:
             continue
-        code = ((piece[:-2] << np.uint32(16)) | (piece[1:-1] << np.uint32(8)) | piece[2:]) * np.uint32(2654435761) >> np.uint32(17)
+        code = (piece[:-2] << np.uint32(16)) | (piece[1:-1] << np.uint32(8)) | piece[2:]
         middle = np.arange(first + 1, first + len(piece) - 1)
         row = np.searchsorted(offsets, middle, side="right") - 1
         inside = (piece[1:-1] != 32) & (offsets[row] < middle) & (middle + 1 < offsets[row + 1])
         yield row[inside], code[inside]
 
 
+def _place(code: np.ndarray) -> np.ndarray:
+    return code * np.uint32(2654435761) >> np.uint32(17)
+
+
+def _letters(text: Column) -> Column:
+    """Text whose characters that are no letters can't pass for some: ASCII ones are folded later, others are blanks."""
+    return F.when(F.length(text) == F.octet_length(text), text).otherwise(F.regexp_replace(text, NO_LETTERS, " "))
+
+
 def _tallied(batches: Iterator[pa.RecordBatch], languages: list[str]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros((len(languages), PLACES), np.int64)
+    """Per language the counts of places, then those of the first, second and third bytes of trigrams."""
+    counts = np.zeros((len(languages), PLACES + 3 * 256), np.int64)
     number = {x: i for i, x in enumerate(languages)}
     for batch in batches:
         label = np.array([number.get(x, -1) for x in batch.column(1).to_pylist()])
         for row, code in _trigrams(batch.column(0), CHUNK // 4):
             own = label[row]
             ok = own >= 0
-            counts += np.bincount(own[ok] * PLACES + code[ok], minlength=counts.size).reshape(counts.shape)
+            own, code = own[ok], code[ok]
+            counts[:, :PLACES] += np.bincount(own * PLACES + _place(code), minlength=len(counts) * PLACES).reshape(-1, PLACES)
+            for k, shift in enumerate((16, 8, 0)):
+                at = PLACES + 256 * k
+                counts[:, at : at + 256] += np.bincount(own * 256 + (code >> np.uint32(shift) & np.uint32(255)), minlength=len(counts) * 256).reshape(-1, 256)
     yield pa.RecordBatch.from_arrays([pa.array(range(len(languages)), pa.int32()), pa.array([c.astype("<i8").tobytes() for c in counts], pa.binary())], names=["language", "counts"])
 
 
@@ -75,40 +93,64 @@ def _added(table: pa.Table) -> pa.Table:
 
 
 class Model:
-    """Logarithms of trigram shares, a row for each language."""
-
-    def __init__(self, languages: list[str], weights: np.ndarray):
-        self.languages, self.weights = languages, weights
+    """Logarithms of trigram shares, a row for each language; the mean of them that a text in it has at least, and the
+    deviation of a single one."""
+
+    def __init__(self, languages: list[str], weights: np.ndarray, floors: np.ndarray, deviations: np.ndarray):
+        self.languages, self.weights, self.floors, self.deviations = languages, weights, floors, deviations
+
+
+def _floor(counts: np.ndarray, smoothing: float) -> tuple[float, float]:
+    """From one language's counts: a mean halfway between that of its own text, each trigram judged by all the others,
+    and that of its letters in random order, and the deviation of its own text's trigrams. Shares no higher than those
+    of a uniform choice are no sign of a language, however few rows it was trained on."""
+    own, bytes_ = counts[:PLACES].astype(np.float64), counts[PLACES:].reshape(3, 256)
+    n = own.sum()
+    if not n:
+        return 0.0, 0.0
+    rest = np.log((np.maximum(own - 1, 0) + smoothing) / (n - 1 + smoothing * PLACES))
+    mean = float(own @ rest / n)
+    deviation = float(np.sqrt(max(0.0, own @ rest**2 / n - mean**2)))
+    used = [np.flatnonzero(b) for b in bytes_]
+    a, b, c = (b[u] / n for b, u in zip(bytes_, used))
+    x, y, z = (u.astype(np.uint32) for u in used)
+    weights = np.log((own + smoothing) / (n + smoothing * PLACES))
+    none = sum(float(share * (b[:, None] * c[None] * weights[_place(first << np.uint32(16) | y[:, None] << np.uint32(8) | z[None])]).sum()) for first, share in zip(x, a))
+    return (mean + none) / 2, deviation
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", smoothing: float = 0.5) -> Model:
     """Trigram shares of each label over all labelled rows; a task sends one row of counts for each language."""
     small_batches(labelled.sparkSession)
-    rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(F.col("lang").isNotNull())
+    rows = labelled.select(_letters(F.col(text_col).cast("string")).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(F.col("lang").isNotNull())
     found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
     languages = sorted(r["lang"] for r in found)
     if not languages:
-        return Model(["und"], np.zeros((1, PLACES), np.float32))
+        return Model(["und"], np.zeros((1, PLACES), np.float32), np.zeros(1), np.zeros(1))
     counts = rows.mapInArrow(streamed(_tallied, languages), "language int, counts binary").groupBy("language").applyInArrow(grouped(_added), "language int, counts binary")
-    total = np.zeros((len(languages), PLACES))
-    for r in counts.collect():  # one row of PLACES counts for each language
-        total[r["language"]] = np.frombuffer(r["counts"], "<i8")
+    total, floors = np.zeros((len(languages), PLACES)), np.zeros((len(languages), 2))
+    for r in counts.collect():  # one row of some more than PLACES counts for each language
+        own = np.frombuffer(r["counts"], "<i8")
+        total[r["language"]], floors[r["language"]] = own[:PLACES], _floor(own, smoothing)
     total += smoothing
-    return Model(languages, np.log(total / total.sum(axis=1, keepdims=True)).astype(np.float32))
+    return Model(languages, np.log(total / total.sum(axis=1, keepdims=True)).astype(np.float32), floors[:, 0], floors[:, 1])
 
 
-def _scored(batches: Iterator[pa.RecordBatch], weights) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], weights, floors: np.ndarray, deviations: np.ndarray, cap: float) -> Iterator[pa.RecordBatch]:
     table = np.ascontiguousarray(weights.value.T)
-    names = ["row", "likelihood", "n_trigrams"]
+    names = ["row", "likelihood", "n_trigrams", "strange"]
     for batch in batches:
         score, n = np.zeros((batch.num_rows, table.shape[1])), np.zeros(batch.num_rows, np.int64)
         for row, code in _trigrams(batch.column(1), max(20_000, CHUNK // table.shape[1])):
             if len(row):
                 at = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-                score[row[at]] += np.add.reduceat(table[code], at, axis=0, dtype=np.float64)
+                score[row[at]] += np.add.reduceat(table[_place(code)], at, axis=0, dtype=np.float64)
                 n[row[at]] += np.diff(np.r_[at, len(row)])
+        some = np.maximum(n, 1)[:, None]
+        least = np.maximum(floors - ALLOWANCE * deviations * np.sqrt((1 + some / cap) / some), -np.log(PLACES))
+        strange = (n > 0) & (score / some < least).all(axis=1)
         ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * table.shape[1])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(score.ravel())), pa.array(n)], names=names)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(score.ravel())), pa.array(n), pa.array(strange)], names=names)
 
 
 def _logs(values: list[float]) -> Column:
@@ -148,8 +190,10 @@ def identify(
 
     n trigrams count as n / (1 + n / evidence_cap) independent ones, as neighbours depend on each other. ``weight``: rows
     that a host's domain, and a domain's whole, are worth in smoothing. A row is rejected if its text has no trigram with
-    a letter in it (null, empty or blank ones, numbers, symbols) and nothing is declared, or if its confidence is less
-    than ``least_confidence``. Declarations and suffixes that are null or unknown say nothing; null hosts are one host.
+    a letter in it (null, empty or blank ones, numbers, symbols) and nothing is declared, if its text is in none of the
+    model's languages, or if its confidence is less than ``least_confidence``. A text is in none if for each language its
+    mean likelihood is below the language's floor by more than chance in a text of its length, or below that of a uniform
+    choice; its confidence is zero, language the nearest one, and it says nothing about its host. Declarations and suffixes that are null or unknown say nothing; null hosts are one host.
     Rows that repeat are judged row by row; other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -158,10 +202,11 @@ def identify(
     names, size = model.languages, len(model.languages)
     col = lambda c: F.lit(None).cast("string") if c is None else F.lower(F.col(c).cast("string"))
     host, domain = F.coalesce(col(host_col), F.lit("")), F.coalesce(col(domain_col), F.lit(""))
+    letters = _letters(F.col(text_col).cast("string"))
     row = F.struct(F.struct(*keep).alias("kept"), host.alias("host"), domain.alias("domain"), col(declared_col).alias("declared"), col(suffix_col).alias("suffix"))
-    source = docs.select(row.alias("row"), F.col(text_col).cast("string").alias("text"))
-    kind = f"row {source.schema['row'].dataType.simpleString()}, likelihood array<double>, n_trigrams long"
-    rows = source.mapInArrow(streamed(_scored, weights), kind).select("row.*", "likelihood", "n_trigrams")
+    source = docs.select(row.alias("row"), letters.alias("text"))
+    kind = f"row {source.schema['row'].dataType.simpleString()}, likelihood array<double>, n_trigrams long, strange boolean"
+    rows = source.mapInArrow(streamed(_scored, weights, model.floors, model.deviations, evidence_cap), kind).select("row.*", "likelihood", "n_trigrams", "strange")
     scale = 1 / (1 + F.col("n_trigrams") / evidence_cap)
     text = F.transform("likelihood", lambda x: x * scale)
     said = _evidence(names, F.col("declared"), {n: n for n in names}, declared_trust)
@@ -169,7 +214,7 @@ def identify(
     rows = written(rows.withColumn("score", _sum(text, said, ending)).drop("likelihood"), "language-scores")
 
     top = lambda a: F.array_position(a, F.array_max(a)).cast("int")
-    counts = rows.withColumn("best", F.when(F.col("n_trigrams") > 0, top(F.col("score")))).groupBy("domain", "host").agg(*(F.count_if(F.col("best") == i + 1).alias(f"c{i}") for i in range(size)))
+    counts = rows.withColumn("best", F.when((F.col("n_trigrams") > 0) & ~F.col("strange"), top(F.col("score")))).groupBy("domain", "host").agg(*(F.count_if(F.col("best") == i + 1).alias(f"c{i}") for i in range(size)))
     counts = written(counts.select("domain", "host", F.array(*(F.col(f"c{i}").cast("double") for i in range(size))).alias("own")), "language-hosts")
     summed = lambda df, *by: df.groupBy(*by).agg(*(F.sum(F.get("own", F.lit(i))).alias(f"c{i}") for i in range(size)))
     whole = summed(counts).first()
@@ -182,14 +227,14 @@ def identify(
         priors = F.broadcast(priors)
     fused = rows.join(priors, ["domain", "host"], "left").withColumn("score", _sum(F.col("score"), F.coalesce("prior", _logs(np.log(general)))))
     best = F.array_max("score")
-    fused = fused.withColumn("confidence", 1 / F.aggregate("score", F.lit(0.0), lambda s, x: s + F.exp(x - best)))
+    fused = fused.withColumn("confidence", F.when(F.col("strange"), 0.0).otherwise(1 / F.aggregate("score", F.lit(0.0), lambda s, x: s + F.exp(x - best))))
     empty = (F.col("n_trigrams") == 0) & F.coalesce(~F.col("declared").isin(names), F.lit(True))
     return fused.select(
         "kept.*",
         F.get(F.array(*map(F.lit, names)), top(F.col("score")) - 1).alias("language"),
         "confidence",
         "n_trigrams",
-        (empty | (F.col("confidence") < least_confidence)).alias("rejected"),
+        (empty | F.col("strange") | (F.col("confidence") < least_confidence)).alias("rejected"),
     )
 
 

@@ -234,6 +234,27 @@ def test_language_hosts_are_smoothed(spark):
     assert out[100].language == out[101].language == "de" and out[102].language == "en" and out[100].confidence > out[101].confidence
 
 
+def test_language_of_none(spark):
+    rng = np.random.default_rng(5)
+    letters, base64 = list("abcdefghijklmnopqrstuvwxyz     "), list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+    texts = [
+        "Все люди рождаются свободными и равными в своём достоинстве и правах. Они наделены разумом и совестью",
+        "人人生而自由在尊严和权利上一律平等他们赋有理性和良心并应以兄弟关系的精神相对待",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler",
+        *("".join(rng.choice(kind, 400)) for kind in (letters, base64)),
+        "—" * 50 + "★☆" * 50,
+        "❤️ 👍🏽 … “”" * 20,
+    ]
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
+    rows = spark.createDataFrame([(-1 - i, t, None, "src1", len(t)) for i, t in enumerate(texts)], docs.schema).unionByName(docs)
+    out = identify(rows, train(docs), keep=["doc_id"], host_col="source").collect()
+    assert sorted(r.doc_id for r in out if r.rejected) == sorted(-1 - i for i in range(len(texts)))
+    got = {r.doc_id: r for r in out}
+    assert got[-7].n_trigrams == got[-8].n_trigrams == 0 and all(r.confidence == 0 for i, r in got.items() if -7 < i < 0)
+    assert {r.doc_id for r in dict(corpus_pipeline.STAGES)["language_id"](spark, rows, MEDIUM).collect()} == {r.doc_id for r in docs.collect()}
+
+
 # conversations
 
 
