@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from .shared import components, grouped, small_batches, streamed, written
 
 BLOCKS, GRID, SEED = 8, 3, 7
-#: Vectors in a cell beyond which its rows and columns are split; entries a task should get; vectors of a flush.
-CELL, BUCKET, FLUSH = 20_000, 2_000_000, 20_000
+#: Homes and guests in a cell beyond which its rows and columns are split; entries and vectors' components that a task
+#: should get; vectors of a flush.
+CELL, BUCKET, COMPONENTS, FLUSH = 20_000, 2_000_000, 1 << 24, 20_000
 _SLACK = 1e-9
 
 
@@ -69,26 +70,79 @@ class Plan:
         return np.split((x / np.linalg.norm(x, axis=1, keepdims=True)) @ rotation(self.dim), self.ends[:-1], axis=1)
 
 
-def _crowd(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
-    """Vectors per cell, by batch."""
+#: Cells that are split, in order, and into how many slices of homes and of guests.
+Crowded = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _crowd(batches: Iterator[pa.RecordBatch], plan: Plan, heavy: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Vectors per cell, by batch: homes, or the guests that come from the cells ``heavy``."""
     for batch in batches:
         label = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
         if not len(label):
             continue
         ids = []
         for b, x in enumerate(plan.cut(_vectors(batch, 0, plan.dim))):
-            ids += [c for _, c in _cells(x, label * plan.blocks + b, plan.limits[b] ** 0.5, plan.grid, False)]
-        cells, times = np.unique(np.concatenate(ids), return_counts=True)
+            place = label * plan.blocks + b, plan.limits[b] ** 0.5, plan.grid
+            home = next(_cells(x, *place, False))[1]
+            if heavy is None:
+                ids.append(home)
+            elif (some := np.isin(home, heavy)).any():
+                ids += [c for _, c in _cells(x[some], place[0][some], *place[1:], True)]
+        cells, times = np.unique(np.concatenate([np.empty(0, np.uint64), *ids]), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(cells.view(np.int64)), pa.array(times)], names=["cell", "times"])
 
 
-def _dealt(batches: Iterator[pa.RecordBatch], plan: Plan, buckets: int, crowded: dict[int, int]) -> Iterator[pa.RecordBatch]:
+def _crowded(vectors: DataFrame, plan: Plan) -> tuple[Crowded, int]:
+    """Which cells are split, and how many entries that adds. vectors: columns vector, label.
+
+    A cell's guests come from the 3 ** grid cells around it. Those from cells of few homes are fewer than ``most``
+    together; only the others are counted."""
+    most = max(1, min(CELL, COMPONENTS // (8 * plan.dim)))
+
+    def counted(least: int, heavy: np.ndarray | None) -> dict[int, int]:
+        crowd = vectors.select("vector", "label").mapInArrow(streamed(_crowd, plan, heavy), "cell long, times long")
+        crowd = crowd.groupBy("cell").agg(F.sum("times").alias("times")).filter(F.col("times") > least).collect()
+        return {r["cell"] % (1 << 64): r["times"] for r in crowd}
+
+    homes = counted(most // 3**plan.grid, None)  # at most blocks rows in so many vectors
+    guests = counted(most // 3**plan.grid, np.array(sorted(homes), np.uint64)) if homes else {}
+    marks, rows, columns, more = [], [], [], 0
+    for mark in sorted({*homes, *guests}):
+        h, g = homes.get(mark, 0), guests.get(mark, 0) + most
+        s, t = max(1, -(-h // most)), -(-g // most) if g > 2 * most else 1
+        if s > 1 or t > 1:
+            marks.append(mark)
+            rows.append(s)
+            columns.append(t)
+            more += max(h, most) * (t - 1) + g * (s - 1)
+    return (np.array(marks, np.uint64), np.array(rows, np.int64), np.array(columns, np.int64)), more
+
+
+def _slice(ids: np.ndarray, slices: np.ndarray) -> np.ndarray:
+    mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed >> np.uint64(33)) % slices.astype(np.uint64)).astype(np.int64)
+
+
+def _split(ids: np.ndarray, cells: np.ndarray, at: np.ndarray, crowded: Crowded, own: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of split cells, as positions in ids and cells of their own: a home in its slice is compared with each slice
+    of guests, a guest in its own with each slice of homes, so that any two of them meet in one."""
+    slices, others = (crowded[1][at], crowded[2][at]) if own else (crowded[2][at], crowded[1][at])
+    mine = np.repeat(np.arange(len(ids)), others)
+    other = np.arange(len(mine)) - np.repeat(np.cumsum(others) - others, others)
+    first = _slice(ids, slices)[mine]
+    both = np.stack([first, other] if own else [other, first], axis=1)
+    return mine, _hashed(both, cells[mine])
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], plan: Plan, buckets: int, crowded: Crowded) -> Iterator[pa.RecordBatch]:
     """Vectors to the buckets of their cells: home in one cell of each block, a guest in those nearby. A crowded cell is
-    split: its homes into as many slices, each of which all guests visit."""
+    split into slices of homes times slices of guests, each of which is dealt to a bucket of its own."""
+    marks = crowded[0]
+    flush = max(100, FLUSH // int(max([1, *crowded[1], *crowded[2]])))
     names = ["bucket", "ids", "weights", "vectors", "owners", "cells", "blocks", "home"]
     for whole in batches:
-        for start in range(0, whole.num_rows, FLUSH):
-            batch = whole.slice(start, FLUSH)
+        for start in range(0, whole.num_rows, flush):
+            batch = whole.slice(start, flush)
             ids = batch.column(0).to_numpy().astype(np.int64)
             label = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             weight = batch.column(2).to_numpy().astype(np.int64)
@@ -97,20 +151,13 @@ def _dealt(batches: Iterator[pa.RecordBatch], plan: Plan, buckets: int, crowded:
             for b, part in enumerate(plan.cut(x)):
                 for own in (True, False):
                     for rows, cells in _cells(part, label * plan.blocks + b, plan.limits[b] ** 0.5, plan.grid, not own):
-                        for mark, slices in crowded.items():
-                            hit = cells == np.uint64(mark)
+                        if len(marks):
+                            at = np.minimum(np.searchsorted(marks, cells), len(marks) - 1)
+                            hit = marks[at] == cells
                             if hit.any():
-                                salted = np.uint64(mark) + np.uint64(1) + (ids[rows[hit]].astype(np.uint64) % np.uint64(slices))
-                                if own:
-                                    cells = cells.copy()
-                                    cells[hit] = salted
-                                else:
-                                    for s in range(slices):
-                                        owner.append(rows[hit])
-                                        cell.append(np.full(hit.sum(), np.uint64(mark) + np.uint64(1 + s)))
-                                        block.append(np.full(hit.sum(), b))
-                                        home.append(np.zeros(hit.sum(), bool))
-                                    rows, cells = rows[~hit], cells[~hit]
+                                some = rows[hit]
+                                mine, parts = _split(ids[some], cells[hit], at[hit], crowded, own)
+                                rows, cells = np.concatenate([rows[~hit], some[mine]]), np.concatenate([cells[~hit], parts])
                         owner.append(rows)
                         cell.append(cells)
                         block.append(np.full(len(rows), b))
@@ -126,6 +173,12 @@ def _dealt(batches: Iterator[pa.RecordBatch], plan: Plan, buckets: int, crowded:
             yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), *(pa.array(out[n], pa.binary()) for n in names[1:])], names=names)
 
 
+def _buckets(vectors: int, more: int, plan: Plan) -> int:
+    """Buckets of so many vectors, whose entries are ``more`` by split cells; where all vectors fit one, by entries alone."""
+    entries = vectors * plan.blocks * (1 + 2**plan.grid) + more
+    return max(4, -(-entries // BUCKET), -(-entries * plan.dim // COMPONENTS) if vectors * plan.dim > COMPONENTS else 0)
+
+
 def _least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Each node's smallest reachable node."""
     label = np.arange(n)
@@ -227,10 +280,8 @@ def embedding_components(
     for dim in sorted(r["dim"] for r in classes.select("dim").distinct().collect()):  # one or a few model dimensions
         plan = Plan(dim, cosine, blocks, grid)
         mine = classes.filter(F.col("dim") == dim)
-        crowd = mine.select("vector", "label").mapInArrow(streamed(_crowd, plan), "cell long, times long")
-        crowd = crowd.groupBy("cell").agg(F.sum("times").alias("times")).filter(F.col("times") > CELL).collect()  # at most blocks rows in CELL vectors
-        crowded = {r["cell"] % (1 << 64): -(-r["times"] // CELL) for r in crowd}
-        buckets = max(4, -(-mine.count() * plan.blocks * (1 + 2**grid) // BUCKET))
+        crowded, more = _crowded(mine, plan)
+        buckets = _buckets(mine.count(), more, plan)
         dealt = mine.select("node", "label", "weight", "vector").mapInArrow(
             streamed(_dealt, plan, buckets, crowded), "bucket int, ids binary, weights binary, vectors binary, owners binary, cells binary, blocks binary, home binary"
         )

@@ -190,6 +190,32 @@ def test_embedding_crowded_cells(spark, monkeypatch):
     assert sorted(map(tuple, embedding_components(df).collect())) == want
 
 
+def test_embedding_crowded_cells_are_dealt_out(spark, monkeypatch):
+    import pyarrow as pa
+
+    from plumbline.llm import embedding_dedup as x
+
+    rng = np.random.default_rng(2)
+    vectors = [(np.array([3.0, 1.0, 2.0, 4.0] * 2) + rng.standard_normal(8) * 0.2).astype("f4").tolist() for _ in range(1500)]
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(vectors)], "vec_id long, vector array<float>, label long")
+    want = sorted(map(tuple, embedding_components(df, vector_col="vector", blocks=2).collect()))
+    monkeypatch.setattr(x, "CELL", 100)
+    monkeypatch.setattr(x, "BUCKET", 2000)
+    plan = x.Plan(8, 0.98, 2, x.GRID)
+    crowded, more = x._crowded(df, plan)
+    buckets = x._buckets(len(vectors), more, plan)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1500), pa.int64()), pa.array([1] * 1500), pa.array([1] * 1500), pa.array(vectors, pa.list_(pa.float32()))], names=["node", "label", "weight", "vector"])
+    entries, sizes = Counter(), Counter()
+    for out in x._dealt(iter([batch]), plan, buckets, crowded):
+        for r in out.to_pylist():
+            cell, home = np.frombuffer(r["cells"], "<u8"), np.frombuffer(r["home"], bool)
+            entries[r["bucket"]] += len(cell)
+            sizes.update(zip(cell.tolist(), home.tolist()))
+    assert len(crowded[0]) and max(crowded[1]) > 2 and max(crowded[2]) > 2
+    assert len(entries) > buckets * 3 // 4 and max(entries.values()) < 3 * 2000 and max(sizes.values()) <= 2 * 100
+    assert sorted(map(tuple, embedding_components(df, vector_col="vector", blocks=2).collect())) == want
+
+
 def test_components_of_a_long_chain(spark):
     n = 300
     order = np.random.default_rng(3).permutation(n).tolist()
