@@ -23,10 +23,12 @@ PLACES, CHUNK = 1 << 15, 2_000_000
 ALLOWANCE = 2.0
 #: Characters beyond ASCII that are no letters, and marks that stand on none.
 NO_LETTERS = r"[^\p{ASCII}\p{L}\p{M}]+|(?<![\p{L}\p{M}])\p{M}+"
-#: Languages that a model has at most: the most frequent labels.
-MOST_LANGUAGES = 64
-#: Hosts up to which their priors are broadcast.
-MOST_HOSTS = 100_000
+#: Languages that a model can have: 128 KB each are sent to every worker. More labels are an error.
+MOST_LANGUAGES = 1000
+#: Languages whose counts a task holds at once.
+HELD = 128
+#: Hosts, and numbers in their priors, up to which these are broadcast.
+MOST_HOSTS, MOST_NUMBERS = 100_000, 6_400_000
 # Address suffixes of countries and the language most of their pages are in.
 SUFFIXES = {"ar": "es", "at": "de", "au": "en", "br": "pt", "ca": "en", "ch": "de", "cl": "es", "co": "es", "de": "de", "es": "es", "fr": "fr", "ie": "en", "it": "it", "mx": "es", "nl": "nl", "nz": "en", "pt": "pt", "uk": "en", "us": "en"}
 
@@ -70,26 +72,45 @@ def _letters(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), text).otherwise(F.regexp_replace(text, NO_LETTERS, " "))
 
 
+def _sparse(counts: dict[int, np.ndarray]) -> pa.RecordBatch:
+    places = [np.flatnonzero(c) for c in counts.values()]
+    numbers = [c[at].astype("<i8").tobytes() for c, at in zip(counts.values(), places)]
+    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array([x.astype("<u2").tobytes() for x in places], pa.binary()), pa.array(numbers, pa.binary())], names=["language", "places", "counts"])
+
+
 def _tallied(batches: Iterator[pa.RecordBatch], languages: list[str]) -> Iterator[pa.RecordBatch]:
-    """Per language the counts of places, then those of the first, second and third bytes of trigrams."""
-    counts = np.zeros((len(languages), PLACES + 3 * 256), np.int64)
+    """Per language the counts of places, then those of the first, second and third bytes of trigrams: what isn't zero."""
+    counts: dict[int, np.ndarray] = {}
     number = {x: i for i, x in enumerate(languages)}
     for batch in batches:
-        label = np.array([number.get(x, -1) for x in batch.column(1).to_pylist()])
-        for row, code in _trigrams(batch.column(0), CHUNK // 4):
+        label = np.array([number[x] for x in batch.column(1).to_pylist()], np.int64)
+        order = np.argsort(label, kind="stable")
+        label = label[order]
+        for row, codes in _trigrams(batch.column(0).take(pa.array(order)), CHUNK // 4):
             own = label[row]
-            ok = own >= 0
-            own, code = own[ok], code[ok]
-            counts[:, :PLACES] += np.bincount(own * PLACES + _place(code), minlength=len(counts) * PLACES).reshape(-1, PLACES)
-            for k, shift in enumerate((16, 8, 0)):
-                at = PLACES + 256 * k
-                counts[:, at : at + 256] += np.bincount(own * 256 + (code >> np.uint32(shift) & np.uint32(255)), minlength=len(counts) * 256).reshape(-1, 256)
-    yield pa.RecordBatch.from_arrays([pa.array(range(len(languages)), pa.int32()), pa.array([c.astype("<i8").tobytes() for c in counts], pa.binary())], names=["language", "counts"])
-
-
-def _added(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, "<i8") for x in table.column("counts").to_pylist())
-    return pa.table({"language": table.column("language")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+            starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else []
+            for start, end in zip(starts, [*starts[1:], len(own)]):
+                if own[start] not in counts and len(counts) >= HELD:
+                    yield _sparse(counts)
+                    counts = {}
+                mine, code = counts.setdefault(int(own[start]), np.zeros(PLACES + 3 * 256, np.int64)), codes[start:end]
+                mine[:PLACES] += np.bincount(_place(code), minlength=PLACES)
+                for k, shift in enumerate((16, 8, 0)):
+                    at = PLACES + 256 * k
+                    mine[at : at + 256] += np.bincount(code >> np.uint32(shift) & np.uint32(255), minlength=256)
+    if counts:
+        yield _sparse(counts)
+
+
+def _added(table: pa.Table, smoothing: float) -> pa.Table:
+    """One language's logarithms of shares, floor and deviation."""
+    total = np.zeros(PLACES + 3 * 256, np.int64)
+    for places, counts in zip(table.column("places"), table.column("counts")):
+        total[np.frombuffer(places.as_py(), "<u2")] += np.frombuffer(counts.as_py(), "<i8")
+    smooth = total[:PLACES] + smoothing
+    floor, deviation = _floor(total, smoothing)
+    weights = np.log(smooth / smooth.sum()).astype("<f4").tobytes()
+    return pa.table({"language": table.column("language")[:1], "weights": pa.array([weights], pa.binary()), "floor": [floor], "deviation": [deviation]})
 
 
 class Model:
@@ -120,28 +141,36 @@ def _floor(counts: np.ndarray, smoothing: float) -> tuple[float, float]:
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", smoothing: float = 0.5) -> Model:
-    """Trigram shares of each label over all labelled rows; a task sends one row of counts for each language."""
+    """Trigram shares of each label over all labelled rows, however rare the label; a task sends its counts that aren't
+    zero. More than MOST_LANGUAGES labels are an error."""
     small_batches(labelled.sparkSession)
     rows = labelled.select(_letters(F.col(text_col).cast("string")).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(F.col("lang").isNotNull())
-    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in found)
+    languages = sorted(r["lang"] for r in rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {MOST_LANGUAGES} different labels, which is more than a model can have")
     if not languages:
         return Model(["und"], np.zeros((1, PLACES), np.float32), np.zeros(1), np.zeros(1))
-    counts = rows.mapInArrow(streamed(_tallied, languages), "language int, counts binary").groupBy("language").applyInArrow(grouped(_added), "language int, counts binary")
-    total, floors = np.zeros((len(languages), PLACES)), np.zeros((len(languages), 2))
-    for r in counts.collect():  # one row of some more than PLACES counts for each language
-        own = np.frombuffer(r["counts"], "<i8")
-        total[r["language"]], floors[r["language"]] = own[:PLACES], _floor(own, smoothing)
-    total += smoothing
-    return Model(languages, np.log(total / total.sum(axis=1, keepdims=True)).astype(np.float32), floors[:, 0], floors[:, 1])
-
-
-def _scored(batches: Iterator[pa.RecordBatch], weights, floors: np.ndarray, deviations: np.ndarray, cap: float) -> Iterator[pa.RecordBatch]:
-    table = np.ascontiguousarray(weights.value.T)
-    names = ["row", "likelihood", "n_trigrams", "strange"]
+    counts = rows.mapInArrow(streamed(_tallied, languages), "language int, places binary, counts binary")
+    shares = counts.groupBy("language").applyInArrow(grouped(_added, smoothing), "language int, weights binary, floor double, deviation double")
+    weights, floors, deviations = np.full((len(languages), PLACES), -np.log(PLACES), np.float32), np.zeros(len(languages)), np.zeros(len(languages))
+    for r in shares.collect():  # one row of PLACES floats for each language
+        weights[r["language"]], floors[r["language"]], deviations[r["language"]] = np.frombuffer(r["weights"], "<f4"), r["floor"], r["deviation"]
+    return Model(languages, weights, floors, deviations)
+
+
+def _scored(
+    batches: Iterator[pa.RecordBatch], weights, languages: list[str], floors: np.ndarray, deviations: np.ndarray, cap: float, declared_trust: float, suffix_trust: float
+) -> Iterator[pa.RecordBatch]:
+    """Logarithms of a row's evidence for each language; whether its text is in none and something known is declared;
+    the number of the language, from 1, that its evidence is for."""
+    table = weights.value
+    size = table.shape[1]
+    said = {x.lower(): i for i, x in enumerate(languages)} | {x: i for i, x in enumerate(languages)}
+    ending = {k: languages.index(x) for k, x in SUFFIXES.items() if x in languages}
+    names = ["row", "score", "n_trigrams", "strange", "heard", "best"]
     for batch in batches:
-        score, n = np.zeros((batch.num_rows, table.shape[1])), np.zeros(batch.num_rows, np.int64)
-        for row, code in _trigrams(batch.column(1), max(20_000, CHUNK // table.shape[1])):
+        score, n = np.zeros((batch.num_rows, size)), np.zeros(batch.num_rows, np.int64)
+        for row, code in _trigrams(batch.column(1), max(5_000, CHUNK // size)):
             if len(row):
                 at = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
                 score[row[at]] += np.add.reduceat(table[_place(code)], at, axis=0, dtype=np.float64)
@@ -149,24 +178,37 @@ def _scored(batches: Iterator[pa.RecordBatch], weights, floors: np.ndarray, devi
         some = np.maximum(n, 1)[:, None]
         least = np.maximum(floors - ALLOWANCE * deviations * np.sqrt((1 + some / cap) / some), -np.log(PLACES))
         strange = (n > 0) & (score / some < least).all(axis=1)
-        ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * table.shape[1])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(score.ravel())), pa.array(n), pa.array(strange)], names=names)
+        score *= (1 / (1 + n / cap))[:, None]
+        heard = np.zeros(batch.num_rows, bool)
+        for column, known, trust in ((2, said, declared_trust), (3, ending, suffix_trust)):
+            which = np.array([known.get(x, -1) for x in batch.column(column).to_pylist()], np.int64)
+            at = np.flatnonzero(which >= 0)
+            if len(at):
+                chance = np.full((len(at), size), (1 - trust) / max(1, size - 1))
+                chance[np.arange(len(at)), which[at]] = trust
+                score[at] += np.log(chance)
+            if known is said:
+                heard[at] = True
+        best = pa.array(score.argmax(axis=1) + 1, pa.int32(), mask=(n == 0) | strange)
+        ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * size)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(score.ravel())), pa.array(n), pa.array(strange), pa.array(heard), best], names=names)
+
+
+def _dense(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Lists of languages and numbers of rows as an array of a number for each language."""
+    for batch in batches:
+        own = np.zeros((batch.num_rows, size))
+        for row, pairs in zip(own, batch.column(batch.num_columns - 1).to_pylist()):
+            for x in pairs:
+                row[x["best"] - 1] = x["n"]
+        ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * size)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(ends, pa.array(own.ravel()))], names=[*batch.schema.names[:-1], "own"])
 
 
 def _logs(values: list[float]) -> Column:
     return F.array(*(F.lit(float(x)) for x in values))
 
 
-def _evidence(models: list[str], value: Column, table: dict[str, str], trust: float) -> Column:
-    """Logarithms of the chance of a value given each language; zeros where it says nothing."""
-    rest = (1 - trust) / max(1, len(models) - 1)
-    out = _logs([0.0] * len(models))
-    for key, language in table.items():
-        if language in models:
-            out = F.when(value == key, _logs(np.log([trust if m == language else rest for m in models]))).otherwise(out)
-    return out
-
-
 def _sum(*arrays: Column) -> Column:
     return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), arrays)
 
@@ -198,37 +240,37 @@ def identify(
     """
     spark = docs.sparkSession
     small_batches(spark)
-    weights = spark.sparkContext.broadcast(model.weights)  # languages times PLACES floats: 8 MB at most
+    weights = spark.sparkContext.broadcast(np.ascontiguousarray(model.weights.T))  # PLACES times languages floats: 128 MB at most
     names, size = model.languages, len(model.languages)
     col = lambda c: F.lit(None).cast("string") if c is None else F.lower(F.col(c).cast("string"))
     host, domain = F.coalesce(col(host_col), F.lit("")), F.coalesce(col(domain_col), F.lit(""))
     letters = _letters(F.col(text_col).cast("string"))
-    row = F.struct(F.struct(*keep).alias("kept"), host.alias("host"), domain.alias("domain"), col(declared_col).alias("declared"), col(suffix_col).alias("suffix"))
-    source = docs.select(row.alias("row"), letters.alias("text"))
-    kind = f"row {source.schema['row'].dataType.simpleString()}, likelihood array<double>, n_trigrams long, strange boolean"
-    rows = source.mapInArrow(streamed(_scored, weights, model.floors, model.deviations, evidence_cap), kind).select("row.*", "likelihood", "n_trigrams", "strange")
-    scale = 1 / (1 + F.col("n_trigrams") / evidence_cap)
-    text = F.transform("likelihood", lambda x: x * scale)
-    said = _evidence(names, F.col("declared"), {n: n for n in names}, declared_trust)
-    ending = _evidence(names, F.col("suffix"), SUFFIXES, suffix_trust)
-    rows = written(rows.withColumn("score", _sum(text, said, ending)).drop("likelihood"), "language-scores")
+    row = F.struct(F.struct(*keep).alias("kept"), host.alias("host"), domain.alias("domain"))
+    source = docs.select(row.alias("row"), letters.alias("text"), col(declared_col).alias("declared"), col(suffix_col).alias("suffix"))
+    kind = f"row {source.schema['row'].dataType.simpleString()}, score array<double>, n_trigrams long, strange boolean, heard boolean, best int"
+    judge = streamed(_scored, weights, names, model.floors, model.deviations, evidence_cap, declared_trust, suffix_trust)
+    rows = written(source.mapInArrow(judge, kind).select("row.*", "score", "n_trigrams", "strange", "heard", "best"), "language-scores")
 
     top = lambda a: F.array_position(a, F.array_max(a)).cast("int")
-    counts = rows.withColumn("best", F.when((F.col("n_trigrams") > 0) & ~F.col("strange"), top(F.col("score")))).groupBy("domain", "host").agg(*(F.count_if(F.col("best") == i + 1).alias(f"c{i}") for i in range(size)))
-    counts = written(counts.select("domain", "host", F.array(*(F.col(f"c{i}").cast("double") for i in range(size))).alias("own")), "language-hosts")
-    summed = lambda df, *by: df.groupBy(*by).agg(*(F.sum(F.get("own", F.lit(i))).alias(f"c{i}") for i in range(size)))
-    whole = summed(counts).first()
-    total = np.array([float(x or 0) for x in whole]) + 1.0
+    counts = written(rows.groupBy("domain", "host", "best").agg(F.count(F.lit(1)).alias("n")), "language-hosts")
+    total = np.ones(size)
+    for r in counts.filter("best IS NOT NULL").groupBy("best").agg(F.sum("n").alias("n")).collect():  # a row for each language
+        total[r["best"] - 1] += r["n"]
     general = total / total.sum()
     smooth = lambda own, prior: F.zip_with(own, prior, lambda c, p: (c + p * weight) / (F.aggregate(own, F.lit(0.0), lambda s, x: s + x) + weight))
-    domains = summed(counts, "domain").select("domain", smooth(F.array(*(f"c{i}" for i in range(size))), _logs(general)).alias("of_domain"))
-    priors = counts.join(domains, "domain").select("domain", "host", F.transform(smooth(F.col("own"), F.col("of_domain")), lambda x: F.log(x)).alias("prior"))
-    if counts.count() <= MOST_HOSTS:
+
+    def dense(*by: str) -> DataFrame:
+        found = counts.groupBy(*by, "best").agg(F.sum("n").alias("n")).groupBy(*by).agg(F.collect_list(F.when(F.col("best").isNotNull(), F.struct("best", "n"))).alias("pairs"))
+        return found.mapInArrow(streamed(_dense, size), ", ".join(f"{x} string" for x in by) + ", own array<double>")
+
+    domains = dense("domain").select("domain", smooth(F.col("own"), _logs(general)).alias("of_domain"))
+    priors = dense("domain", "host").join(domains, "domain").select("domain", "host", F.transform(smooth(F.col("own"), F.col("of_domain")), lambda x: F.log(x)).alias("prior"))
+    if counts.select("domain", "host").distinct().count() <= min(MOST_HOSTS, MOST_NUMBERS // size):
         priors = F.broadcast(priors)
     fused = rows.join(priors, ["domain", "host"], "left").withColumn("score", _sum(F.col("score"), F.coalesce("prior", _logs(np.log(general)))))
     best = F.array_max("score")
     fused = fused.withColumn("confidence", F.when(F.col("strange"), 0.0).otherwise(1 / F.aggregate("score", F.lit(0.0), lambda s, x: s + F.exp(x - best))))
-    empty = (F.col("n_trigrams") == 0) & F.coalesce(~F.col("declared").isin(names), F.lit(True))
+    empty = (F.col("n_trigrams") == 0) & ~F.col("heard")
     return fused.select(
         "kept.*",
         F.get(F.array(*map(F.lit, names)), top(F.col("score")) - 1).alias("language"),

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from plumbline.llm import queries as q
@@ -281,6 +282,25 @@ def test_language_of_none(spark):
     assert {r.doc_id for r in dict(corpus_pipeline.STAGES)["language_id"](spark, rows, MEDIUM).collect()} == {r.doc_id for r in docs.collect()}
 
 
+def test_language_of_many_labels(spark, monkeypatch):
+    from plumbline.llm import language_id as x
+
+    rng = np.random.default_rng(6)
+    words = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(12)] for _ in range(70)]
+    rows = [(i, " ".join(rng.choice(words[k], 60)), f"l{k:02}") for i, k in enumerate(k for k in range(70) for _ in range(3 if k < 6 else 5))]
+    docs = spark.createDataFrame(rows, "id long, text string, lang string")
+    monkeypatch.setattr(x, "HELD", 5)
+    model = train(docs)
+    assert model.languages == [f"l{k:02}" for k in range(70)]
+    more = spark.createDataFrame([(-1, None, "l01"), (-2, "", "L99")], "id long, text string, lang string")
+    got = {r.id: r for r in identify(docs.select("id", "text", F.lit(None).cast("string").alias("lang")).unionByName(more), model, keep=["id"], declared_col="lang").collect()}
+    assert all(got[i].language == lang and not got[i].rejected for i, _, lang in rows)
+    assert got[-1].language == "l01" and not got[-1].rejected and got[-2].rejected
+    monkeypatch.setattr(x, "MOST_LANGUAGES", 69)
+    with pytest.raises(ValueError, match="69"):
+        train(docs)
+
+
 # conversations
 
 
