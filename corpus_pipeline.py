@@ -23,8 +23,12 @@ from plumbline.llm.shared import written
 MOST = 1_000_000
 
 
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= MOST else df
+
+
 def _without(docs: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:
-    return docs.join(F.broadcast(gone) if gone.count() <= MOST else gone, on, "left_anti")
+    return docs.join(_small(gone), on, "left_anti")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,10 +48,18 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves the document with the smallest id of each group that links connect."""
-    found = ngram_components(docs)
-    gone = written(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "near-copies")
-    return _without(docs, gone, ["doc_id"])
+    """Leaves one row of each group that links connect: one with the smallest id, nulls last. Rows are found by a hash of
+    id and text, so that an id's other texts and rows without one are judged for themselves; of equal rows one is left."""
+    named = docs.withColumn("name", F.xxhash64("doc_id", "text"))
+    found = ngram_components(named, id_col="name").filter("n_shingles > 0")
+    found = written(found.select(F.col("doc_id").alias("name"), "component_id"), "near-components")
+    several = written(found.groupBy("component_id").count().filter("count > 1").select("component_id"), "near-groups")
+    copies = written(found.join(_small(several), "component_id").select("name", "component_id").distinct(), "near-names")
+    copies = written(named.select("name", "doc_id").join(_small(copies), "name").distinct(), "near-copies")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "name")).alias("least")
+    kept = written(copies.groupBy("component_id").agg(least).select("least.name"), "near-kept")
+    one = named.join(_small(kept), "name").groupBy("name").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return _without(named, copies.select("name").distinct(), ["name"]).select(docs.columns).unionByName(one)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

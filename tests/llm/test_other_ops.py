@@ -353,6 +353,17 @@ def test_pipeline_stages_against_brute_force(spark):
     check_packing([(r.doc_id, r.text) for r in kept.collect()], packed)
 
 
+def test_near_copies_with_null_and_repeated_ids(spark):
+    near, far, short = (" ".join(f"{x}{i}" for i in range(40)) for x in ("n", "f", "s"))
+    rows = [(None, near), (None, near + " x"), (7, near + " y"), (7, "other words are here " * 9), (4, near + " z"), (4, near + " z"), (None, far), (None, far), (None, far + " w"), (8, short), (8, short), (9, None), (9, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "src1", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, docs, SMALL)
+    left = [(r.doc_id, r.text) for r in out.collect()]
+    assert out.columns == docs.columns and len([x for x in left if x[1] in (far, far + " w")]) == 1
+    want = [(4, near + " z"), (7, "other words are here " * 9), (8, short), (9, None), (9, None), (None, "")]
+    assert Counter(x for x in left if x[1] not in (far, far + " w")) == Counter(want)
+
+
 def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, SMALL)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 100
