@@ -21,6 +21,8 @@ from .shared import grouped, small_batches, streamed, written
 PLACES, CHUNK = 1 << 15, 2_000_000
 #: Deviations by which a text may fall below a language's floor.
 ALLOWANCE = 2.0
+#: The least logarithm of a share that counts against a floor, so that a key or an address in a short text doesn't decide.
+LEAST_SHARE = -np.log(PLACES) - 2
 #: Characters beyond ASCII that are no letters, and marks that stand on none.
 NO_LETTERS = r"[^\p{ASCII}\p{L}\p{M}]+|(?<![\p{L}\p{M}])\p{M}+"
 #: Languages that a model can have: 128 KB each are sent to every worker. More labels are an error.
@@ -170,14 +172,17 @@ def _scored(
     names = ["row", "score", "n_trigrams", "strange", "heard", "best"]
     for batch in batches:
         score, n = np.zeros((batch.num_rows, size)), np.zeros(batch.num_rows, np.int64)
+        held = np.zeros((batch.num_rows, size))
         for row, code in _trigrams(batch.column(1), max(5_000, CHUNK // size)):
             if len(row):
                 at = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-                score[row[at]] += np.add.reduceat(table[_place(code)], at, axis=0, dtype=np.float64)
+                found = table[_place(code)]
+                score[row[at]] += np.add.reduceat(found, at, axis=0, dtype=np.float64)
+                held[row[at]] += np.add.reduceat(np.maximum(found, np.float32(LEAST_SHARE)), at, axis=0, dtype=np.float64)
                 n[row[at]] += np.diff(np.r_[at, len(row)])
         some = np.maximum(n, 1)[:, None]
         least = np.maximum(floors - ALLOWANCE * deviations * np.sqrt((1 + some / cap) / some), -np.log(PLACES))
-        strange = (n > 0) & (score / some < least).all(axis=1)
+        strange = (n > 0) & (held / some < least).all(axis=1)
         score *= (1 / (1 + n / cap))[:, None]
         heard = np.zeros(batch.num_rows, bool)
         for column, known, trust in ((2, said, declared_trust), (3, ending, suffix_trust)):
