@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 from plumbline.llm import queries as q
 from plumbline.llm.line_dedup import dedup_lines
 from plumbline.llm.ngram_join import ngram_components
-from plumbline.llm.packing import best_fit, improved, least_bins, pack
+from plumbline.llm.packing import Search, best_fit, least_bins, next_fit, pack, searched
 from plumbline.llm.token_counts import count_tokens
 from plumbline.llm.tokens import ByteIds, WordCounts
 from tests.conftest import MEDIUM, SMALL
@@ -131,19 +131,57 @@ def test_packing(spark, edge):
     assert bins <= bound * 1.02 + 1
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(1, 100), min_size=1, max_size=80))
-def test_local_search_never_overfills(lengths):
+def squares(bins, sizes):
+    return int((np.bincount(bins, weights=sizes) ** 2).sum())
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 100), min_size=1, max_size=80), st.sampled_from([next_fit, best_fit]))
+def test_local_search_raises_squared_fills(lengths, start):
     sizes = np.array(lengths)
-    before = best_fit(sizes, 100)
-    after = improved(sizes, before, 100)
+    before = start(sizes, 100)
+    search = Search(sizes, before, 100)
+    after = search.run(least_bins(sizes, 100))
+    steps = search.moves + search.swaps + search.doubles
     assert np.bincount(after, weights=sizes).max() <= 100
+    assert squares(after, sizes) >= squares(before, sizes) + 2 * steps
     assert least_bins(sizes, 100) <= len(set(after.tolist())) <= len(set(before.tolist()))
+    bins, _ = searched(sizes, 100, True)
+    assert bins.max() + 1 == len(set(bins.tolist())) <= len(set(best_fit(sizes, 100).tolist()))
 
 
 def test_local_search_swaps():
     sizes, placed = np.array([70, 20, 60, 20, 30]), np.array([0, 0, 1, 1, 2])
-    assert len(set(improved(sizes, placed, 100).tolist())) == least_bins(sizes, 100) == 2
+    search = Search(sizes, placed, 100)
+    assert len(set(search.run(2).tolist())) == least_bins(sizes, 100) == 2 and search.swaps + search.doubles > 0
+
+
+def test_local_search_ends_where_nothing_fits():
+    for sizes in (np.full(3000, 683), np.random.default_rng(1).integers(700, 1100, 3000)):
+        bins, _ = searched(sizes, 2048, True)
+        assert bins.max() + 1 == best_fit(sizes, 2048).max() + 1
+
+
+def test_search_packs_documents(spark):
+    sizes = np.array([r.length for r in q.op7_best_fit_packing(spark, MEDIUM).collect() if r.length < 2048])
+    bins, steps = searched(sizes, 2048, False)
+    assert bins.max() + 1 == best_fit(sizes, 2048).max() + 1 == least_bins(sizes, 2048)
+    assert min(steps.values()) > 10 and next_fit(sizes, 2048).max() > 1.2 * bins.max()
+
+
+def test_packing_in_levels(spark):
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
+    found = pack(docs, BYTE, group=150).collect()
+    bins, bound = check_packing(documents(spark, MEDIUM), found)
+    assert len({r.sequence_id >> 56 for r in found if r.sequence_id >= 0}) > 1 and bins <= bound + 2
+
+
+def test_ids_of_latin_texts(spark):
+    """Every Latin-1 character, alone, doubled and between others, and whole documents."""
+    texts = [made for i in range(256) for c in [chr(i)] for made in (c, c + c, f"a{c}b", f" {c} ", f"1{c}2{c}", f"'{c}s", f"\n{c}\t")]
+    texts += [chr(i) + chr(j) for i in range(256) for j in range(0, 256, 3)] + [t or "" for _, t in documents(spark, MEDIUM)]
+    for text, ids in zip(texts, FAST.tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert FAST.of(text) == np.asarray(ids.ids, "<u4").tobytes()
 
 
 def test_empty_tables(spark):
