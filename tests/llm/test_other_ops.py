@@ -233,11 +233,12 @@ def test_embedding_crowded_cells_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(x, "CELL", 100)
     monkeypatch.setattr(x, "BUCKET", 2000)
     plan = x.Plan(8, 0.98, 2, x.GRID)
-    crowded, more = x._crowded(df, plan)
+    crowded, more = x._crowded(df.withColumn("place", F.col("label")), plan)
     buckets = x._buckets(len(vectors), more, plan)
-    batch = pa.RecordBatch.from_arrays([pa.array(range(1500), pa.int64()), pa.array([1] * 1500), pa.array([1] * 1500), pa.array(vectors, pa.list_(pa.float32()))], names=["node", "label", "weight", "vector"])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1500), pa.int64()), pa.array([1] * 1500), pa.array(vectors, pa.list_(pa.float32()))], names=["node", "place", "vector"])
     entries, sizes = Counter(), Counter()
-    for out in x._dealt(iter([batch]), plan, buckets, crowded):
+    for out in x._dealt(iter([batch]), plan, buckets, spark.sparkContext.broadcast(crowded)):
+        assert "vectors" not in out.schema.names
         for r in out.to_pylist():
             cell, home = np.frombuffer(r["cells"], "<u8"), np.frombuffer(r["home"], bool)
             entries[r["bucket"]] += len(cell)
@@ -247,6 +248,34 @@ def test_embedding_crowded_cells_are_dealt_out(spark, monkeypatch):
     assert sorted(map(tuple, embedding_components(df, vector_col="vector", blocks=2).collect())) == want
 
 
+def test_embedding_vectors_travel_only_where_proposed(spark, monkeypatch):
+    """Copies of whole vectors: two at most for each, over a table in which most are near no other one."""
+    from plumbline.llm import embedding_dedup as x
+
+    sent = []
+    kept = x.written
+    monkeypatch.setattr(x, "written", lambda df, name: _noted(kept(df, name), name, sent))
+    embedding_components(spark.read.parquet(f"{MEDIUM}/embeddings.parquet")).collect()
+    assert sum(df.count() for df in sent) <= 2 * spark.read.parquet(f"{MEDIUM}/embeddings.parquet").count()
+
+
+def _noted(df, name, sent):
+    if name == "embedding-near":
+        sent.append(df)
+    return df
+
+
+def test_embedding_labels_and_doubles(spark):
+    """Text labels, and doubles that floats would merge or part."""
+    a = [1.0, 0.0, 0.0, 0.0]
+    b = [0.98, math.sqrt(1 - 0.98**2) - 1e-13, 0.0, 0.0]
+    c = [0.98, math.sqrt(1 - 0.98**2) + 1e-9, 0.0, 0.0]
+    rows = [(1, a, "x"), (2, b, "x"), (3, a, "y"), (4, c, "y"), (5, a, None), (6, b, "")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_components(df).collect()}
+    assert got == {1: (1, 1, True), 2: (1, 1, False), 3: (0, 3, True), 4: (0, 4, True), 5: (0, 5, True), 6: (0, 6, True)}
+
+
 def test_components_of_a_long_chain(spark):
     n = 300
     order = np.random.default_rng(3).permutation(n).tolist()
