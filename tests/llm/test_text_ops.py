@@ -184,6 +184,33 @@ def test_ids_of_latin_texts(spark):
         assert FAST.of(text) == np.asarray(ids.ids, "<u4").tobytes()
 
 
+def test_lines_of_rows_without_ids(spark, monkeypatch):
+    from plumbline.llm import line_dedup as x
+
+    monkeypatch.setattr(x, "FLUSH", 3)
+    rows = [(None, "line number one\nonly in the null ones\n x"), (None, "line number one\nand another line"), (None, "only in the null ones"), (5, "LINE number one \nand another line"), (5, "line number one")]
+    df = spark.createDataFrame([(i, t, [1], "r") for i, t in rows], "doc_id long, text string, drops array<int>, row string").repartition(3)
+    got = {(r.doc_id, r.text, r.kept_text, r.n_dropped, r.row) for r in dedup_lines(df).collect()}
+    want = ["only in the null ones\n x", "", "only in the null ones", "LINE number one \nand another line", "line number one"]
+    assert got == {(i, t, w, t.count("\n") - w.count("\n") + (w == "") if i is None and t != w else 0, "r") for (i, t), w in zip(rows, want)}
+
+
+def test_line_shards_grow_with_the_input(spark, monkeypatch):
+    """Small shards: of lines that occur once, few are suspected, however many there are; a line of all documents is sent
+    once a flush; rows agree with brute force."""
+    from plumbline.llm import line_dedup as x
+
+    rng = np.random.default_rng(4)
+    digests = rng.integers(0, 1 << 63, (300_000, 2), np.uint64)
+    known = x.twice_seen(np.concatenate([digests, digests[:1000]]), np.zeros(301_000, bool))
+    assert known[:1000].all() and known[300_000:].all() and known[1000:300_000].mean() < 0.05
+    monkeypatch.setattr(x, "LINES", 400)
+    monkeypatch.setattr(x, "FLUSH", 300)
+    rows = [(i, "\n".join(["the line of them all", *(f"line of number {j}" for j in rng.integers(0, 4000, 5))])) for i in range(1500)]
+    out = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).selectExpr("*", "sha2(kept_text, 256) AS sha")
+    assert answer(out, "doc_id", "n_lines", "n_dropped", "sha") == brute.lines(rows)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     for out in (ngram_components(none), dedup_lines(none), count_tokens(none, WORD, spaced=True), pack(none, BYTE)):
