@@ -13,19 +13,26 @@ from pyspark.sql import functions as F
 from .shared import written
 
 BLOCK = 4096
-#: Blocks that occur more often than this, and than one in SHARE blocks, are named without moving their copies.
-OFTEN, SHARE = 10_000, 1_000
+#: Blocks that occur more often than this are named without bringing their copies together.
+OFTEN = 10_000
+#: Names of such blocks up to which they are broadcast (16 bytes each).
+MOST_NAMES = 1_000_000
 _NONE = -(1 << 63)
 
 
-def _named_often(blocks: DataFrame, total: int) -> DataFrame | None:
-    """Names below 0 for very frequent blocks: at most SHARE hashes pass, so this is small enough to broadcast."""
-    marks = blocks.groupBy(F.xxhash64("block").alias("mark")).agg(F.count(F.lit(1)).alias("times"))
-    marks = [r["mark"] for r in marks.filter(F.col("times") > max(OFTEN, total // SHARE)).select("mark").collect()]
-    if not marks:
+def _named_often(blocks: DataFrame) -> DataFrame | None:
+    """Names below 0 for blocks whose mark, a hash, occurs often: mark, fixed, and the block itself (``which``) only if
+    several blocks have the mark. One block in OFTEN at most."""
+    marks = blocks.groupBy("mark").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") > OFTEN)
+    marks = written(marks.select("mark"), "block-marks")
+    found = marks.count()
+    if not found:
         return None
-    found = blocks.filter(F.xxhash64("block").isin(marks)).groupBy("block").agg(F.count(F.lit(1)).alias("times"))
-    return written(found.select(F.col("block").alias("often"), (-1 - F.monotonically_increasing_id()).alias("fixed")), "block-names")
+    hot = blocks.join(F.broadcast(marks) if found <= MOST_NAMES else marks, "mark").groupBy("mark", "block").agg(F.count(F.lit(1)).alias("times"))
+    hot = written(hot.select("mark", "block", (-1 - F.monotonically_increasing_id()).alias("fixed")), "block-kinds")
+    kinds = hot.groupBy("mark").agg(F.count(F.lit(1)).alias("kinds"))
+    which = F.when(F.col("kinds") > 1, F.col("block"))
+    return written(hot.join(kinds, "mark").select("mark", "fixed", which.alias("which")), "block-names")
 
 
 def _first_names(rows: DataFrame, block: int) -> DataFrame:
@@ -33,16 +40,18 @@ def _first_names(rows: DataFrame, block: int) -> DataFrame:
     cut = F.expr(f"transform(sequence(0, n - 1), i -> substring(body, i * {block} + 1, {block}))")
     blocks = rows.select("row", "doc_id", "text_sha256", "n", F.posexplode(cut).alias("pos", "block"))
     blocks = blocks.withColumn("doc_id", F.when(F.col("pos") == 0, F.col("doc_id"))).withColumn("text_sha256", F.when(F.col("pos") == 0, F.col("text_sha256")))
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    often = _named_often(blocks, total) if total > OFTEN else None
     kept = [c for c in blocks.columns if c != "block"]
+    marked = blocks.withColumn("mark", F.xxhash64("block"))
+    often = _named_often(marked)
     fixed = None
     if often is not None:
-        both = blocks.join(F.broadcast(often), blocks["block"] == often["often"], "left")
+        names = often.withColumnRenamed("mark", "m")
+        names = F.broadcast(names) if names.count() <= MOST_NAMES else names
+        both = marked.join(names, (F.col("mark") == F.col("m")) & (F.col("which").isNull() | (F.col("which") == F.col("block"))), "left")
         fixed = both.filter(F.col("fixed").isNotNull()).select(*kept, F.col("fixed").alias("name"))
         blocks = both.filter(F.col("fixed").isNull()).select(*kept, "block")
     places = blocks.withColumn("place", F.monotonically_increasing_id())
-    groups = places.groupBy("block").agg(F.min("place").alias("name"), F.collect_list(F.struct(*kept)).alias("held"))
+    groups = places.groupBy("block").agg(F.min("place").alias("name"), F.collect_list(F.struct(*kept)).alias("held"))  # OFTEN at most
     named = groups.select("name", F.explode("held").alias("held")).select("held.*", "name")
     return named if fixed is None else named.unionByName(fixed)
 
@@ -58,7 +67,7 @@ def _paired(names: DataFrame) -> DataFrame:
         F.coalesce(F.max(F.when(right, F.col("name"))), F.lit(_NONE)).alias("b"),
     )
     pairs = written(pairs.withColumn("place", F.monotonically_increasing_id()), "block-pairs")
-    new = pairs.groupBy("a", "b").agg(F.min("place").alias("name"))
+    new = written(pairs.groupBy("a", "b").agg(F.min("place").alias("name")), "block-names")  # so that the join may split a frequent pair
     return pairs.join(new, ["a", "b"]).select("row", "doc_id", "text_sha256", "n", "pos", "name")
 
 
@@ -87,5 +96,6 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         now = written(_paired(now.filter("n > 1")), "blocks")
         done = done.unionByName(now.filter("n = 1").withColumn("level", F.lit(level)))
     groups = done.groupBy("level", "name").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    groups = written(groups, "block-groups")
     out = done.join(groups, ["level", "name"])
     return out.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), F.lower(F.hex("text_sha256")).alias("text_sha256"))

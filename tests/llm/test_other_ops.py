@@ -119,6 +119,17 @@ def test_exact_dedup_of_frequent_blocks(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == exact(rows)
 
 
+def test_exact_dedup_of_frequent_blocks_with_one_mark(spark, monkeypatch):
+    """Frequent blocks whose marks are equal are told apart by their contents."""
+    from plumbline.llm import exact_dedup as x
+
+    monkeypatch.setattr(x, "OFTEN", 5)
+    monkeypatch.setattr(x.F, "xxhash64", lambda *c: F.length(c[0]).cast("long"))
+    rows = [(i, f"text {i % 4}") for i in range(40)] + [(100 + i, f"own {i}") for i in range(9)]
+    got = exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    assert sorted(map(tuple, got.collect())) == exact(rows)
+
+
 def test_exact_dedup_keeps_one_of_equal_rows(spark):
     out = exact_duplicates(spark.createDataFrame([(1, "x"), (1, "x"), (None, "x"), (None, "y")], "doc_id long, text string")).collect()
     assert sum(r.kept for r in out) == 2 and {r.group_size for r in out} == {1, 3}
