@@ -30,6 +30,24 @@ def specials(tokenizer) -> list[str]:
     return [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
 
+# Steps that treat a word alike wherever it stands, and a pattern that matches no white space.
+_LOCAL = ("NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents")
+_SPACELESS = (r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",)
+
+
+def drops_white_space(content: str) -> bool:
+    """Whether a .json tokenizer surely drops white space and never joins what it separates, so that a text's tokens are
+    those of its words: it cuts texts there first, and no step before that looks beyond a word."""
+    made = json.loads(content)
+    normal, cut = made.get("normalizer"), made.get("pre_tokenizer") or {}
+    steps = normal["normalizers"] if normal and normal["type"] == "Sequence" else [normal] if normal else []
+    one_blank = lambda x: x["type"] == "Replace" and x["pattern"] == {"Regex": r"\s+"} and x["content"] == " "
+    first = cut["pretokenizers"][0] if cut.get("type") == "Sequence" and cut["pretokenizers"] else cut
+    removed = first.get("type") == "Split" and first["behavior"] == "Removed" and first["invert"] and first["pattern"].get("Regex") in _SPACELESS
+    added = all(not any(c.isspace() for c in t["content"]) and not t["lstrip"] and not t["rstrip"] for t in made.get("added_tokens", []))
+    return added and all(x["type"] in _LOCAL or one_blank(x) for x in steps) and (removed or first.get("type") in ("Whitespace", "WhitespaceSplit")) and not made.get("post_processor")
+
+
 class WordCounts(dict):
     """Token counts of whole texts for tokenizers that drop white space: the sum over their words, each encoded once."""
 

@@ -1,3 +1,4 @@
+import json
 import zlib
 from collections import defaultdict
 from pathlib import Path
@@ -5,6 +6,7 @@ from pathlib import Path
 import numpy as np
 import public_tokenizers
 import pytest
+import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -14,7 +16,7 @@ from plumbline.llm.line_dedup import dedup_lines
 from plumbline.llm.ngram_join import ngram_components
 from plumbline.llm.packing import Search, best_fit, least_bins, next_fit, pack, searched
 from plumbline.llm.token_counts import count_tokens
-from plumbline.llm.tokens import ByteIds, WordCounts
+from plumbline.llm.tokens import ByteIds, WordCounts, drops_white_space
 from tests.conftest import MEDIUM, SMALL
 from tests.llm import brute
 
@@ -78,10 +80,44 @@ def test_token_counts(spark, edge):
     made = Tokenizer.from_file(WORD)
     want = lambda rows: sorted((i, len((t or "").encode()), n := len(made.encode(t or "", add_special_tokens=False).ids), n > 2048) for i, t in rows)
     cols = ("doc_id", "n_bytes", "n_tokens", "over_limit")
-    assert answer(count_tokens(edge, WORD, spaced=True), *cols) == want(EDGE)
+    assert answer(count_tokens(edge, WORD), *cols) == want(EDGE)
     assert answer(q.op2_token_counts(spark, SMALL), *cols) == want(documents(spark, SMALL))
 
 
+def test_token_counts_of_tokenizers_that_keep_white_space(spark, edge):
+    """What the file says decides, not the caller."""
+    rows = [*EDGE, (900, "a b"), (901, "a  b"), (902, " a\tb\n"), (903, "a\u00a0b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    made = Tokenizer.from_file(BYTE)
+    got = answer(count_tokens(df, BYTE), "doc_id", "n_tokens")
+    assert got == sorted((i, len(made.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
+    pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    got = answer(count_tokens(df, public_tokenizers.path("piece_bpe_32k.model")), "doc_id", "n_tokens")
+    assert got == sorted((i, len(pieces.encode(t or ""))) for i, t in rows)
+
+
+def test_which_tokenizers_drop_white_space():
+    word, byte = (json.loads(Path(x).read_text()) for x in (WORD, BYTE))
+    assert drops_white_space(json.dumps(word)) and not drops_white_space(json.dumps(byte))
+    for key, value in (("pre_tokenizer", None), ("pre_tokenizer", {"type": "Metaspace"}), ("pre_tokenizer", {"type": "BertPreTokenizer"}), ("normalizer", {"type": "Replace", "pattern": {"String": " "}, "content": "_"}), ("normalizer", {"type": "BertNormalizer"})):
+        assert not drops_white_space(json.dumps(word | {key: value}))
+    assert not drops_white_space(json.dumps(word | {"added_tokens": [word["added_tokens"][0] | {"content": "new york"}]}))
+    assert drops_white_space(json.dumps(word | {"pre_tokenizer": {"type": "WhitespaceSplit"}}))
+
+
+def test_token_cache_knows_some(spark, tmp_path):
+    at = f"file://{tmp_path}/cache"
+    rows = documents(spark, SMALL)
+    some = spark.createDataFrame(rows[:50], "doc_id long, text string")
+    count_tokens(some, WORD, at).collect()
+    before = spark.read.parquet(at).count()
+    every = answer(count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), WORD, at), "doc_id", "n_tokens")
+    made = Tokenizer.from_file(WORD)
+    assert every == sorted((i, len(made.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
+    cache = spark.read.parquet(at)
+    assert before <= 50 and cache.count() == cache.select("digest").distinct().count()
+
+
 def test_token_cache_is_used_and_kept_apart(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, None)], "doc_id long, text string")
     at = f"file://{tmp_path}/cache"
@@ -213,5 +249,5 @@ def test_line_shards_grow_with_the_input(spark, monkeypatch):
 
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
-    for out in (ngram_components(none), dedup_lines(none), count_tokens(none, WORD, spaced=True), pack(none, BYTE)):
+    for out in (ngram_components(none), dedup_lines(none), count_tokens(none, WORD), pack(none, BYTE)):
         assert out.count() == 0
