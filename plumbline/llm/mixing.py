@@ -117,10 +117,11 @@ def mix_sources(
 
 
 def repeated(mixed: DataFrame, text_col: str = "text") -> DataFrame:
-    """The mix's documents: each row as often as it is taken, the last time with its first words only if need be."""
+    """The mix's documents: each row as often as it is taken, the last time with its first words only if need be. Copies
+    come from a short list of numbers; only the rows at which a budget ends, one for each source, are cut into words."""
     rest = F.col("taken") - F.col("epochs") * F.col("size")
-    texts = F.array_repeat(F.col(text_col), F.col("epochs").cast("int"))
+    copies = F.col("epochs") + F.when(rest > 0, 1).otherwise(0)
+    cut = (F.col("__copy") > F.col("epochs")) & (rest < F.col("size"))
     head = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit("[ \\t-\\r]*[^ \\t-\\r]+"), F.lit(0)), F.lit(1), F.greatest(rest, F.lit(0)).cast("int")), "")
-    last = F.when(rest <= 0, F.array().cast("array<string>")).when(rest >= F.col("size"), F.array(text_col)).otherwise(F.array(head))
-    others = [c for c in mixed.columns if c != text_col]
-    return mixed.select(*others, F.explode(F.concat(texts, last)).alias(text_col))
+    rows = mixed.filter(copies > 0).select("*", F.explode(F.sequence(F.lit(1).cast("long"), copies.cast("long"))).alias("__copy"))
+    return rows.withColumn(text_col, F.when(cut, head).otherwise(F.col(text_col))).drop("__copy")
