@@ -35,6 +35,8 @@ class Check:
     mostly: float | None = None
     #: Failing rows where a row alone can't tell, such as duplicates.
     failing: Callable[[DataFrame], DataFrame] | None = None
+    #: Counted in a pass of its own: distinct values of several columns in one aggregate would multiply every row.
+    alone: bool = False
 
     def warn(self) -> Check:
         return replace(self, severity="warn")
@@ -100,7 +102,7 @@ def unique_together(columns: list[str]) -> Check:
     def failing(df: DataFrame) -> DataFrame:
         return df.filter(given).groupBy(*columns).agg(F.count(F.lit(1)).alias("n_rows")).filter(F.col("n_rows") > 1)
 
-    return Check(f"unique_combination_{'_'.join(columns)}", "Uniqueness", tuple(columns), measure=excess, failing=failing)
+    return Check(f"unique_combination_{'_'.join(columns)}", "Uniqueness", tuple(columns), measure=excess, failing=failing, alone=True)
 
 
 def duplicate_excess(column: str) -> Check:
@@ -108,11 +110,11 @@ def duplicate_excess(column: str) -> Check:
     def failing(df: DataFrame) -> DataFrame:
         return df.groupBy(column).agg(F.count(F.lit(1)).alias("n_rows")).filter(F.col("n_rows") > 1)
 
-    return Check(f"duplicate_excess_{column}", "Uniqueness", (column,), measure=F.count(F.lit(1)) - F.count_distinct(column), failing=failing)
+    return Check(f"duplicate_excess_{column}", "Uniqueness", (column,), measure=F.count(F.lit(1)) - F.count_distinct(column), failing=failing, alone=True)
 
 
 def unique_share(column: str, low: float, high: float = 1.0) -> Check:
-    return Check(f"unique_share_{column}", "Uniqueness", (column,), measure=F.try_divide(F.count_distinct(column).cast("double"), F.count(column).cast("double")), bounds=(low, high))
+    return Check(f"unique_share_{column}", "Uniqueness", (column,), measure=F.try_divide(F.count_distinct(column).cast("double"), F.count(column).cast("double")), bounds=(low, high), alone=True)
 
 
 def row_count_between(low: int | None, high: int | None) -> Check:
@@ -165,23 +167,14 @@ def _verdict(check: Check, observed: Column, base: Column) -> Column:
     return F.when(F.coalesce(good, F.lit(True)), "PASS").otherwise("WARN" if check.severity == "warn" else "FAIL")
 
 
-def run(df: DataFrame, checks: list[Check], table: str = "") -> DataFrame:
-    """table_name, check_name, category, severity, observed, base_rows, status: a row per check, from one scan.
-
-    Expressions are analysed one by one first: one that the table can't resolve becomes an ERROR row and doesn't disturb
-    the others. A measure that is null, as of an empty table, passes.
-    """
-    good, bad = [], []
-    for check in checks:
-        try:
-            df.agg(*_counted(check)).schema  # noqa: B018
-            good.append(check)
-        except Exception as error:  # noqa: BLE001  whatever the analyser says is the check's result
-            bad.append((table, check.name, check.category, check.severity, None, None, "ERROR", str(error).split("\n")[0][:200]))
-    parts = []
-    for at in range(0, len(good), WIDTH):
-        some = good[at : at + WIDTH]
-        wide = df.agg(*(x.alias(f"{kind}{i}") for i, c in enumerate(some) for kind, x in zip("ob", _counted(c))))
+RESULTS = "table_name string, check_name string, category string, severity string, observed double, base_rows bigint, status string, error string"
+
+
+def _pass(df: DataFrame, checks: list[Check], table: str) -> list[tuple]:
+    """Results of some checks, from one aggregate. If it fails, halves are run, down to the checks that fail: what the
+    analyser refuses and what breaks on a row is that check's result and nobody else's."""
+    try:
+        wide = df.agg(*(x.alias(f"{kind}{i}") for i, c in enumerate(checks) for kind, x in zip("ob", _counted(c))))
         rows = F.array(
             *(
                 F.struct(
@@ -194,13 +187,28 @@ def run(df: DataFrame, checks: list[Check], table: str = "") -> DataFrame:
                     _verdict(c, F.col(f"o{i}"), F.col(f"b{i}")).alias("status"),
                     F.lit(None).cast("string").alias("error"),
                 )
-                for i, c in enumerate(some)
+                for i, c in enumerate(checks)
             )
         )
-        parts.append(wide.select(F.inline(rows)))
-    if bad:
-        parts.append(df.sparkSession.createDataFrame(bad, "table_name string, check_name string, category string, severity string, observed double, base_rows bigint, status string, error string"))
-    return reduce(DataFrame.unionByName, parts)
+        return [tuple(r) for r in wide.select(F.inline(rows)).collect()]  # a row per check
+    except Exception as error:  # noqa: BLE001  whatever it is, it is the result of the check that raised it
+        if len(checks) == 1:
+            c = checks[0]
+            return [(table, c.name, c.category, c.severity, None, None, "ERROR", str(error).strip().split("\n")[0][:200])]
+        half = len(checks) // 2
+        return _pass(df, checks[:half], table) + _pass(df, checks[half:], table)
+
+
+def run(df: DataFrame, checks: list[Check], table: str = "") -> DataFrame:
+    """table_name, check_name, category, severity, observed, base_rows, status, error: a row per check, from one scan for
+    all checks but those of distinct values, which have a scan each.
+
+    The checks are run at once. One that can't be resolved, or that fails on some row, becomes an ERROR row and doesn't
+    disturb the others. A measure that is null, as of an empty table, passes."""
+    fused = [c for c in checks if not c.alone]
+    passes = [fused[at : at + WIDTH] for at in range(0, len(fused), WIDTH)] + [[c] for c in checks if c.alone]
+    found = {id(c): r for some in passes for c, r in zip(some, _pass(df, some, table))}
+    return df.sparkSession.createDataFrame([found[id(c)] for c in checks], RESULTS)
 
 
 def failing_rows(df: DataFrame, check: Check) -> DataFrame:

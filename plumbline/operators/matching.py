@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from plumbline.functions import text as tx
 
 # Similarity bands and their points.
 BANDS = ((0.85, 25), (0.75, 20), (0.65, 15), (0.55, 10), (0.45, 5))
 MOST_TEXT, MOST_VECTOR = 60, 25
+#: Pairs of interfaces and queries that are compared at most.
+MOST_PAIRS = 10_000_000_000
 INTERFACE = ("application", "integration", "description", "type", "source_system", "target_system", "inbound_outbound")
 QUERY = ("system", "file", "queryname", "tables", "sqltext", "type")
 
@@ -93,12 +99,16 @@ def feed_penalties(interfaces: DataFrame, feeds: DataFrame, key: str) -> DataFra
     return out.select(key, F.when(F.col("bad") == 1, -10).otherwise(0).alias("step2_score"), F.coalesce("matched_feeds", F.lit(0)).alias("matched_feeds"))
 
 
-def match(interfaces: DataFrame, queries: DataFrame, feeds: DataFrame | None = None, min_score: int = 40, tokenized: bool = False, vector_col: str = "embedding") -> DataFrame:
+def match(interfaces: DataFrame, queries: DataFrame, feeds: DataFrame | None = None, min_score: int = 40, tokenized: bool = False, vector_col: str = "embedding", most_pairs: int = MOST_PAIRS) -> DataFrame:
     """Every pair of an interface and a query with a final score of min_score or more.
 
     interfaces has interface_id, queries query_id; both may have a vector each, of unit length. A pair can gain 25 points
     by its vectors at the most and lose some by its feeds: pairs whose texts are too far off are dropped before that,
-    which loses none. Scoring rules compare every interface with every query, both of them lists of metadata."""
+    which loses none. Scoring rules compare every interface with every query, both of them lists of metadata: more than
+    ``most_pairs`` pairs are refused."""
+    pairs = interfaces.count() * queries.count()
+    if pairs > most_pairs:
+        raise ValueError(f"{pairs} pairs of interfaces and queries are more than {most_pairs}: match parts of them")
     a, b = interfaces.alias("i"), queries.alias("q")
     points, reasons = text_score("i", "q", tokenized)
     pairs = a.join(b, F.lit(True)).withColumn("step1_score", points).withColumn("step1_details", reasons)
@@ -119,6 +129,42 @@ def match(interfaces: DataFrame, queries: DataFrame, feeds: DataFrame | None = N
     return out.withColumn("confidence", sure).withColumn("match_details", details).drop("step1_details")
 
 
+def audit_entries(matches: DataFrame, at: datetime) -> DataFrame:
+    """An entry of the audit log (at, action, details) for each match."""
+    details = F.format_string("interface %s, query %s: %d (%s)", F.col("interface_id").cast("string"), F.col("query_id").cast("string"), F.col("final_score").cast("int"), F.col("confidence"))
+    return matches.select(F.lit(at).alias("at"), F.lit("match").alias("action"), details.alias("details"))
+
+
+def asked(df: DataFrame, prompt_col: str, answer: Callable[[list[str]], list[str | None]], name: str, batch: int = 32) -> DataFrame:
+    """df with a model's answers to its prompts, a column that only annotates: nothing is scored by it. The model is
+    loaded where ``answer`` runs, on executors; without an answer the text stays null."""
+
+    def run(batches):
+        for b in batches:
+            texts = b[prompt_col].fillna("").tolist()
+            b[name] = [x for at in range(0, len(texts), batch) for x in answer(texts[at : at + batch])]
+            yield b
+
+    kept = df.drop(name)
+    return kept.mapInPandas(run, StructType([*kept.schema.fields, StructField(name, StringType())]))
+
+
+def encoded(df: DataFrame, encode: Callable[[list[str]], list[list[float]]], name: str = "embedding", batch: int = 32) -> DataFrame:
+    """df (with encoding_text) with a model's vectors, scaled to unit length; a vector of zeros stays as it is."""
+
+    def run(batches):
+        import numpy as np
+
+        for b in batches:
+            texts = b["encoding_text"].tolist()
+            found = [np.asarray(v, float) for at in range(0, len(texts), batch) for v in encode(texts[at : at + batch])]
+            b[name] = [(v / (np.linalg.norm(v) or 1.0)).tolist() for v in found]
+            yield b
+
+    kept = df.drop(name)
+    return kept.mapInPandas(run, StructType([*kept.schema.fields, StructField(name, ArrayType(DoubleType()))]))
+
+
 def confidence_counts(matches: DataFrame) -> DataFrame:
     return matches.groupBy("confidence").agg(F.count(F.lit(1)).alias("n_matches"))
 
@@ -127,6 +173,11 @@ def ranked(matches: DataFrame) -> DataFrame:
     return matches.orderBy(F.desc("final_score"), "interface_id", "query_id")
 
 
+def top(matches: DataFrame, n: int = 20) -> DataFrame:
+    """The first n of the ranked matches, for a report."""
+    return ranked(matches).limit(n)
+
+
 def filtered(df: DataFrame, wanted: dict[str, list]) -> DataFrame:
     """Rows whose values are wanted, for each column with any wanted values."""
     for c, values in wanted.items():
@@ -169,3 +220,13 @@ def lineage_nodes(matches: DataFrame) -> DataFrame:
     listed = F.transform(tables, lambda t: F.struct(t.alias("id"), F.lit("table").alias("ntype"), F.lit(4).alias("rank")))
     every = F.concat(F.array_compact(fixed), F.coalesce(listed, F.array().cast("array<struct<id:string,ntype:string,rank:int>>")))
     return matches.select(F.inline(every)).groupBy("id").agg(F.max_by("ntype", "rank").alias("ntype"))
+
+
+def layout(nodes: DataFrame) -> DataFrame:
+    """nodes with x and y for drawing: a column of the picture for each type, in the order in which data flows, names from
+    top to bottom and centred. The same graph is always drawn alike."""
+    kinds = ("source", "interface", "target", "sql", "table")
+    column = F.coalesce(F.array_position(F.array(*map(F.lit, kinds)), F.col("ntype")), F.lit(0))
+    place, all_ = Window.partitionBy("ntype").orderBy("id"), Window.partitionBy("ntype")
+    y = F.row_number().over(place) - (F.count(F.lit(1)).over(all_) + 1) / 2
+    return nodes.select("*", column.cast("double").alias("x"), y.cast("double").alias("y"))

@@ -1,14 +1,16 @@
 """Composition of columns: what their contents are, whatever they were declared as.
 
-All probes of all columns are aggregates of one scan (in groups of columns, as very wide aggregates are not compiled);
-masks are probed in the same scan, so none has to be chosen on a sample first.
+A scan turns each row into one short row for each of up to BATCH columns, flags every value once, and counts the flags by
+column: one small aggregate, whatever the number of columns, combined on the map side. Masks are probed in the same scan;
+a value's length rules most of them out, so none has to be chosen on a sample first.
 """
 
 from __future__ import annotations
 
+from collections.abc import Container
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as tx
@@ -21,41 +23,59 @@ BATCH, ENOUGH = 30, 98.0
 SAMPLES, SAMPLE_LENGTH = 5, 80
 
 
-def _quoted(name: str) -> Column:
+def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def text_probes(c: Column, masks: list[Mask]) -> dict[str, Column]:
-    v = tx.content(c)
+def _flagged(cells: DataFrame) -> DataFrame:
+    """cells (i, v) with what several probes need."""
+    v = F.col("v")
+    return cells.select("i", "v", tx.is_number(v).alias("num"), F.instr(v, ".").alias("point"), F.length(v).alias("n"))
+
+
+def text_probes(masks: list[Mask]) -> dict[str, Column]:
+    """Aggregates over a column's flagged values."""
+    v, num, point, n = (F.col(c) for c in ("v", "num", "point", "n"))
     out = {
         "total": F.count(F.lit(1)),
         "nonnull": F.count(v),
-        "num_ok": F.count_if(tx.is_number(v)),
-        "int_ok": F.count_if(tx.is_integer(v)),
-        "prec_max": F.max(F.when(tx.is_number(v), tx.digits(v))),
-        "scale_max": F.max(F.when(tx.is_number(v), tx.scale_of(v)).otherwise(F.lit(0))),
-        "lead_zero": F.count_if(tx.has_leading_zero(v)),
-        "bool_ok": F.count_if(tx.is_flag(v)),
-        "max_len": F.max(F.length(v)),
+        "num_ok": F.count_if(num),
+        "int_ok": F.count_if(num & (point == 0)),
+        "prec_max": F.max(F.when(num, F.length(F.translate(v, "-+.", "")))),
+        "scale_max": F.max(F.when(num & (point > 0), n - point).otherwise(F.lit(0))),
+        "lead_zero": F.count_if(num & (n > 1) & v.startswith("0") & (F.substring(v, 2, 1) != ".")),
+        "bool_ok": F.count_if((n == 1) & tx.is_flag(v)),
+        "max_len": F.max(n),
     }
     return out | {f"date_{i}": F.count_if(m.matches(v)) for i, m in enumerate(masks)}
 
 
+def _cells(df: DataFrame, columns: list[str]) -> DataFrame:
+    """A row (i, v) for each row and column: the column's number and its content."""
+    return df.select(F.inline(F.array(*(F.struct(F.lit(i).alias("i"), tx.content(quoted(n)).alias("v")) for i, n in enumerate(columns)))))
+
+
 def composition(df: DataFrame, masks: list[Mask], columns: list[str] | None = None) -> DataFrame:
     """column_name, declared_type, and the probes as columns: a row per column. Columns that aren't text have counts only."""
     kinds = dict(df.dtypes)
     names = columns or df.columns
-    keys = list(text_probes(F.lit(""), masks))
+    probes = text_probes(masks)
+    maxima = ("prec_max", "scale_max", "max_len")
     parts = []
     for at in range(0, len(names), BATCH):
-        some, exprs, rows = names[at : at + BATCH], [], []
-        for i, n in enumerate(some):
-            c = _quoted(n)
-            probes = text_probes(c, masks) if type_class(kinds[n]) == "TEXT" else {"total": F.count(F.lit(1)), "nonnull": F.count(c)}
-            exprs += [x.cast("bigint").alias(f"p{i}_{k}") for k, x in probes.items()]
-            fields = [F.lit(n).alias("column_name"), F.lit(kinds[n]).alias("declared_type")]
-            rows.append(F.struct(*fields, *((F.col(f"p{i}_{k}") if k in probes else F.lit(None).cast("bigint")).alias(k) for k in keys)))
-        parts.append(df.agg(*exprs).select(F.inline(F.array(*rows))))
+        some = names[at : at + BATCH]
+        texts = [n for n in some if type_class(kinds[n]) == "TEXT"]
+        others = [n for n in some if n not in texts]
+        if texts:
+            listed = df.sparkSession.createDataFrame([(i, n, kinds[n]) for i, n in enumerate(texts)], "i int, column_name string, declared_type string")
+            counted = _flagged(_cells(df, texts)).groupBy("i").agg(*(x.cast("bigint").alias(k) for k, x in probes.items()))
+            filled = ((F.col(k) if k in maxima else F.coalesce(k, F.lit(0).cast("bigint"))).alias(k) for k in probes)
+            parts.append(listed.join(counted, "i", "left").select("column_name", "declared_type", *filled))
+        if others:
+            wide = df.agg(F.count(F.lit(1)).alias("total"), *(F.count(quoted(n)).alias(f"c{i}") for i, n in enumerate(others)))
+            none = [F.lit(None).cast("bigint").alias(k) for k in probes if k not in ("total", "nonnull")]
+            rows = (F.struct(F.lit(n).alias("column_name"), F.lit(kinds[n]).alias("declared_type"), F.col("total"), F.col(f"c{i}").alias("nonnull"), *none) for i, n in enumerate(others))
+            parts.append(wide.select(F.inline(F.array(*rows))))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -151,17 +171,36 @@ def classified(probes: DataFrame, masks: list[Mask], type_drift: bool = False) -
     )
 
 
-def outliers(df: DataFrame, column: str, inferred: str, masks: list[Mask], suppressed: bool = False) -> DataFrame:
-    """column_name, samples: the smallest distinct contents that don't fit the inferred type; none where suppressed."""
-    v = tx.content(_quoted(column))
+def _unfit(v: Column, inferred: str, masks: list[Mask]) -> Column:
     if inferred in ("INTEGER", "DECIMAL"):
-        bad = ~tx.is_number(v)
-    elif inferred.startswith("DATE:"):
-        bad = ~next(m for m in masks if m.name == inferred[5:]).matches(v)
-    else:
-        bad = F.lit(False)
-    rows = df.filter(F.lit(not suppressed) & v.isNotNull() & bad).select(F.substring(v, 1, SAMPLE_LENGTH).alias("v")).distinct()
-    return rows.orderBy("v").limit(SAMPLES).agg(F.array_sort(F.collect_list("v")).alias("samples")).select(F.lit(column).alias("column_name"), "samples")
+        return ~tx.is_number(v)
+    if inferred.startswith("DATE:"):
+        return ~next(m for m in masks if m.name == inferred[5:]).matches(v)
+    return F.lit(False)
+
+
+def outliers(df: DataFrame, inferred: dict[str, str], masks: list[Mask], suppressed: Container[str] = ()) -> DataFrame:
+    """column_name, samples: a row for each column with contents that don't fit its inferred type, and the smallest
+    distinct ones of them; none where suppressed. One scan for all columns; tasks keep the smallest few of each column."""
+    shown = {c: kind for c, kind in inferred.items() if c not in suppressed}
+    kind = "column_name string, samples array<string>"
+    if not shown:
+        return df.sparkSession.createDataFrame([], kind)
+    cells = []
+    for c, k in shown.items():
+        v = tx.content(quoted(c))
+        cells.append(F.struct(F.lit(c).alias("column_name"), F.when(_unfit(v, k, masks), F.substring(v, 1, SAMPLE_LENGTH)).alias("v")))
+    rows = df.select(F.inline(F.array(*cells))).filter("v IS NOT NULL").distinct()
+    first = F.row_number().over(Window.partitionBy("column_name").orderBy("v"))
+    return rows.withColumn("k", first).filter(F.col("k") <= SAMPLES).groupBy("column_name").agg(F.array_sort(F.collect_list("v")).alias("samples"))
+
+
+def entries(dictionary: DataFrame, order_col: str | None = None) -> DataFrame:
+    """A dictionary (column_name, date_format, is_pii) with one entry, column_key, per column, whatever its case. Of several,
+    the last by ``order_col`` counts, else the one with the largest values."""
+    kept = [c for c in dictionary.columns if c != "column_name"]
+    by = F.struct(*([order_col] if order_col else []), *sorted(kept))
+    return dictionary.groupBy(F.upper("column_name").alias("column_key")).agg(F.max_by(F.struct(*kept), by).alias("e")).select("column_key", "e.*")
 
 
 def profile_table(df: DataFrame, masks: list[Mask], stage: str, table: str, dictionary: DataFrame | None = None, type_drift: bool = False) -> DataFrame:
@@ -169,15 +208,15 @@ def profile_table(df: DataFrame, masks: list[Mask], stage: str, table: str, dict
     is_pii) marks as personal shows none."""
     found = classified(composition(df, masks), masks, type_drift).withColumn("stage", F.lit(stage)).withColumn("table_name", F.lit(table))
     if dictionary is not None:
-        pii = dictionary.groupBy(F.upper("column_name").alias("__c")).agg(F.max(F.upper("is_pii") == "Y").alias("__pii"))
+        pii = entries(dictionary).select(F.col("column_key").alias("__c"), (F.upper("is_pii") == "Y").alias("__pii"))
         found = found.join(pii, F.upper("column_name") == F.col("__c"), "left").drop("__c")
     else:
         found = found.withColumn("__pii", F.lit(False))
     found = found.withColumn("pii_suppressed", F.coalesce("__pii", F.lit(False))).drop("__pii")
-    risky = found.filter((F.col("risk") == "CAST_UNSAFE") & ~F.col("pii_suppressed")).select("column_name", "inferred_type").collect()  # a row per column at most
-    if not risky:
-        return found.withColumn("samples_json", F.lit(None).cast("string"))
-    samples = reduce(DataFrame.unionByName, (outliers(df, r["column_name"], r["inferred_type"], masks) for r in risky))
+    found = df.sparkSession.createDataFrame(found.collect(), found.schema)  # a row per column: the probes are run once
+    risky = {r["column_name"]: r["inferred_type"] for r in found.filter("risk = 'CAST_UNSAFE'").collect()}
+    hidden = {r["column_name"] for r in found.filter("pii_suppressed").select("column_name").collect()}
+    samples = outliers(df, risky, masks, hidden)
     return found.join(samples.select("column_name", F.to_json("samples").alias("samples_json")), "column_name", "left")
 
 
@@ -192,32 +231,43 @@ def metric_class(declared: str, inferred: str | None) -> str:
     return "NUM" if inferred in ("INTEGER", "DECIMAL") else "STR"
 
 
-def metrics(c: Column, kind: str, approximate: bool = False) -> dict[str, Column]:
-    """Metrics of one column; numbers as doubles from exact sums, dates and texts as texts."""
-    ndv = F.approx_count_distinct if approximate else F.count_distinct
+def metrics(c: Column, kind: str) -> dict[str, Column]:
+    """Metrics of one column but for NDV; numbers as doubles from exact sums, dates and texts as texts. CNT counts values,
+    NULLS is raw: a blank is a value. Lengths, numbers and hashes are of the trimmed content."""
+    out = {"CNT": F.count(c), "NULLS": F.count_if(c.isNull())}
     if kind == "LOB":
-        return {"CNT": F.count(F.lit(1)), "NULLS": F.count_if(c.isNull())}
-    v = tx.content(c) if kind in ("NUM", "STR") else c
-    out = {"CNT": F.count(F.lit(1)), "NULLS": F.count_if(v.isNull()), "NDV": ndv(v)}
+        return out
     if kind in ("RAWNUM", "NUM"):
-        n = c.cast("decimal(38,6)") if kind == "RAWNUM" else tx.to_number(v, 6)
+        n = c.cast("decimal(38,6)") if kind == "RAWNUM" else tx.to_number(tx.content(c), 6)
         return out | {"SUM": F.sum(n), "MIN": F.min(n), "MAX": F.max(n)}
     if kind == "RAWDATE":
         shown = lambda x: F.date_format(x, "yyyy-MM-dd HH:mm:ss")
         return out | {"MIN_D": shown(F.min(c)), "MAX_D": shown(F.max(c))}
+    v = tx.content(c)
     return out | {"MAXLEN": F.max(F.length(v)), "HASHSUM": F.sum(tx.hash32(v).cast("decimal(38,0)"))}
 
 
-def stage_metrics(df: DataFrame, kinds: dict[str, str], approximate: bool = False) -> DataFrame:
-    """column_name, metric, value_num, value_str: one scan for every BATCH columns."""
+def stage_metrics(df: DataFrame, kinds: dict[str, str], approximate: bool = True) -> DataFrame:
+    """column_name, metric, value_num, value_str: one scan for every BATCH columns. NDV is approximate, a sketch per column
+    in the same scan; exact on request, which takes a scan and a shuffle for each column."""
     parts, names = [], list(kinds)
+
+    def line(n: str, m: str, value: Column) -> Column:
+        text = m in ("MIN_D", "MAX_D")
+        number, shown = (F.lit(None), F.substring(value, 1, 200)) if text else (value, F.lit(None))
+        return F.struct(F.lit(n).alias("column_name"), F.lit(m).alias("metric"), number.cast("double").alias("value_num"), shown.cast("string").alias("value_str"))
+
     for at in range(0, len(names), BATCH):
         exprs, rows = [], []
         for i, n in enumerate(names[at : at + BATCH]):
-            for m, x in metrics(_quoted(n), kinds[n], approximate).items():
+            found = metrics(quoted(n), kinds[n])
+            if approximate and kinds[n] != "LOB":
+                found["NDV"] = F.approx_count_distinct(quoted(n))
+            for m, x in found.items():
                 exprs.append(x.alias(f"m{i}_{m}"))
-                text = m in ("MIN_D", "MAX_D")
-                value = F.col(f"m{i}_{m}")
-                rows.append(F.struct(F.lit(n).alias("column_name"), F.lit(m).alias("metric"), (F.lit(None) if text else value).cast("double").alias("value_num"), (F.substring(value, 1, 200) if text else F.lit(None)).cast("string").alias("value_str")))
+                rows.append(line(n, m, F.col(f"m{i}_{m}")))
         parts.append(df.agg(*exprs).select(F.inline(F.array(*rows))))
+    if not approximate:
+        for n in (n for n in names if kinds[n] != "LOB"):
+            parts.append(df.agg(F.count_distinct(quoted(n)).alias("ndv")).select(F.inline(F.array(line(n, "NDV", F.col("ndv"))))))
     return reduce(DataFrame.unionByName, parts)

@@ -123,7 +123,23 @@ def sql_text_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", F.array_join("sql_tables", ",").alias("sql_tables"), "n_joins", "has_subquery", "has_union", "has_group_by", "has_case_when", "sql_score", "complexity")
 
 
-@query()
+def _explained_sql() -> str:
+    """Sentences by rule, from the analysed text of each match's query."""
+    yes = lambda p: f"contains(up, {p})"
+    return f"""WITH {_match_sql()}, x AS (SELECT *, coalesce(sqltext, '') AS raw, upper(coalesce(sqltext, '')) AS up, lower(concat_ws(' ', queryname, description)) AS said FROM r),
+y AS (SELECT *, len(list_distinct(list_concat(regexp_extract_all(up, 'FROM\\s+([^\\s,;()]+)', 1), regexp_extract_all(up, 'JOIN\\s+([^\\s,;()]+)', 1)))) AS n_tables, len(regexp_extract_all(up, '\\bJOIN\\b')) AS n_joins,
+ {yes("'(SELECT'")} OR starts_with(trim(up), 'WITH ') AS sub, {yes("'UNION'")} AS uni, {yes("'GROUP BY'")} AS grp, {yes("'CASE'")} AND {yes("'WHEN'")} AS cas FROM x),
+z AS (SELECT *, n_tables * 2 + n_joins * 3 + sub::INT * 10 + grp::INT * 5 + uni::INT * 5 + cas::INT * 5 AS score, concat_ws(', ', CASE WHEN sub THEN 'subqueries' END, CASE WHEN uni THEN 'unions' END, CASE WHEN grp THEN 'grouping' END, CASE WHEN cas THEN 'case rules' END) AS flags FROM y)
+SELECT interface_id, query_id, coalesce(nullif({_safe("integration")}, ''), 'The interface') || ' moves '
+ || CASE WHEN regexp_matches(said, 'customer|client|account') THEN 'customer or account data' WHEN regexp_matches(said, 'transaction|trade|payment') THEN 'transactions' WHEN regexp_matches(said, 'position|holding|portfolio') THEN 'positions and holdings'
+ WHEN regexp_matches(said, 'balance|reconciliation') THEN 'balances to be reconciled' ELSE 'business data' END
+ || ' from ' || coalesce(nullif({_safe("source_system")}, ''), 'an unknown source') || ' to ' || coalesce(nullif({_safe("target_system")}, ''), 'an unknown target') AS business_text,
+ coalesce(nullif({_safe("queryname")}, ''), 'The query') || ' reads ' || n_tables || ' tables with ' || n_joins || ' joins; ' || coalesce(nullif(flags, ''), 'no special constructs') || '; complexity ' || CASE WHEN score >= 25 THEN 'High' WHEN score >= 10 THEN 'Medium' ELSE 'Low' END AS technical_text,
+ substr(regexp_extract(up, '(?s)WHERE\\s+(.+?)(?:GROUP BY|ORDER BY|LIMIT|HAVING|$)', 1), 1, 300) AS where_conditions,
+ '[' || array_to_string(list_transform(regexp_extract_all(raw, '(?is)CASE\\s+.*?END')[1:3], lambda b: to_json(b)::VARCHAR), ',') || ']' AS case_blocks FROM z"""
+
+
+@query(_explained_sql())
 def match_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mt.explanations(mt.sql_analysis(matches(spark), "sqltext"))
     return out.select("interface_id", "query_id", "business_text", "technical_text", "where_conditions", F.to_json("case_blocks").alias("case_blocks"))

@@ -101,20 +101,34 @@ def mask_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {TEXTS_SQL} SELECT 'spoilt' AS column_name, '[\"n/a\"]' AS samples")
 def outlier_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pf.outliers(texts(spark, sf_dir), "spoilt", "INTEGER", MASKS)
+    out = pf.outliers(texts(spark, sf_dir), {"spoilt": "INTEGER"}, MASKS)
     return out.select("column_name", F.to_json("samples").alias("samples"))
 
 
 @query(
-    f"""WITH {TEXTS_SQL}, o AS (SELECT l_quantity, l_shipdate FROM lineitem)
-SELECT 'l_quantity' AS column_name, unnest(['CNT', 'NULLS', 'NDV', 'SUM', 'MIN', 'MAX']) AS metric, unnest([count(*), count(*) FILTER (WHERE l_quantity IS NULL), count(DISTINCT l_quantity), sum(l_quantity::DECIMAL(18, 6)), min(l_quantity), max(l_quantity)]::DOUBLE[]) AS value_num, NULL::VARCHAR AS value_str FROM o
-UNION ALL SELECT 'l_shipdate', unnest(['CNT', 'NULLS', 'NDV', 'MIN_D', 'MAX_D']), unnest([count(*), count(*) FILTER (WHERE l_shipdate IS NULL), count(DISTINCT l_shipdate), NULL, NULL]::DOUBLE[]), unnest([NULL, NULL, NULL, strftime(min(l_shipdate), '%Y-%m-%d %H:%M:%S'), strftime(max(l_shipdate), '%Y-%m-%d %H:%M:%S')]) FROM o
-UNION ALL SELECT 'spoilt', unnest(['CNT', 'NULLS', 'NDV', 'SUM', 'MIN', 'MAX']), unnest([count(*), count(*) FILTER (WHERE spoilt IS NULL), count(DISTINCT spoilt), sum(try_cast(spoilt AS DECIMAL(18, 6))), min(try_cast(spoilt AS DECIMAL(18, 6))), max(try_cast(spoilt AS DECIMAL(18, 6)))]::DOUBLE[]), NULL FROM t
-UNION ALL SELECT 'word', unnest(['CNT', 'NULLS', 'NDV', 'MAXLEN', 'HASHSUM']), unnest([count(*), count(*) FILTER (WHERE word IS NULL), count(DISTINCT word), max(length(word)), sum(('0x' || substr(md5(trim(word)), 1, 8))::BIGINT)]::DOUBLE[]), NULL FROM t"""
+    f"""WITH {TEXTS_SQL}, o AS (SELECT CASE WHEN l_orderkey % 7 <> 0 THEN l_quantity END AS quantity, CASE WHEN l_orderkey % 11 <> 0 THEN l_shipdate END AS shipped FROM lineitem)
+SELECT 'quantity' AS column_name, unnest(['CNT', 'NULLS', 'NDV', 'SUM', 'MIN', 'MAX']) AS metric, unnest([count(quantity), count(*) FILTER (WHERE quantity IS NULL), count(DISTINCT quantity), sum(quantity::DECIMAL(18, 6)), min(quantity), max(quantity)]::DOUBLE[]) AS value_num, NULL::VARCHAR AS value_str FROM o
+UNION ALL SELECT 'shipped', unnest(['CNT', 'NULLS', 'NDV', 'MIN_D', 'MAX_D']), unnest([count(shipped), count(*) FILTER (WHERE shipped IS NULL), count(DISTINCT shipped), NULL, NULL]::DOUBLE[]), unnest([NULL, NULL, NULL, strftime(min(shipped), '%Y-%m-%d %H:%M:%S'), strftime(max(shipped), '%Y-%m-%d %H:%M:%S')]) FROM o
+UNION ALL SELECT 'spoilt', unnest(['CNT', 'NULLS', 'NDV', 'SUM', 'MIN', 'MAX']), unnest([count(spoilt), count(*) FILTER (WHERE spoilt IS NULL), count(DISTINCT spoilt), sum(try_cast(spoilt AS DECIMAL(18, 6))), min(try_cast(spoilt AS DECIMAL(18, 6))), max(try_cast(spoilt AS DECIMAL(18, 6)))]::DOUBLE[]), NULL FROM t
+UNION ALL SELECT 'fraction', unnest(['CNT', 'NULLS', 'NDV', 'SUM', 'MIN', 'MAX']), unnest([count(fraction), count(*) FILTER (WHERE fraction IS NULL), count(DISTINCT fraction), sum(try_cast(trim(fraction) AS DECIMAL(18, 6))), min(try_cast(trim(fraction) AS DECIMAL(18, 6))), max(try_cast(trim(fraction) AS DECIMAL(18, 6)))]::DOUBLE[]), NULL FROM t
+UNION ALL SELECT c.n, unnest(['CNT', 'NULLS', 'NDV', 'MAXLEN', 'HASHSUM']), unnest([count(v), count(*) FILTER (WHERE v IS NULL), count(DISTINCT v), max(length(nullif(trim(v), ''))), sum(('0x' || substr(md5(nullif(trim(v), '')), 1, 8))::BIGINT)]::DOUBLE[]), NULL
+ FROM (SELECT unnest(['word', 'nothing']) AS n, unnest([word, nothing]) AS v FROM t) c GROUP BY c.n"""
 )
 def stage_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = pf.stage_metrics(table(spark, sf_dir, "lineitem"), {"l_quantity": "RAWNUM", "l_shipdate": "RAWDATE"})
-    return raw.unionByName(pf.stage_metrics(texts(spark, sf_dir), {"spoilt": "NUM", "word": "STR"}))
+    """Every class of metrics, over columns with nulls and blanks among them."""
+    key = F.col("l_orderkey")
+    lines = table(spark, sf_dir, "lineitem").select(F.when(key % 7 != 0, F.col("l_quantity")).alias("quantity"), F.when(key % 11 != 0, F.col("l_shipdate")).alias("shipped"))
+    raw = pf.stage_metrics(lines, {"quantity": "RAWNUM", "shipped": "RAWDATE"}, approximate=False)
+    return raw.unionByName(pf.stage_metrics(texts(spark, sf_dir), {"spoilt": "NUM", "fraction": "NUM", "word": "STR", "nothing": "STR"}, approximate=False))
+
+
+@query("SELECT unnest(['l_orderkey', 'l_partkey', 'l_comment', 'l_quantity', 'l_shipdate']) AS column_name, true AS within_a_tenth")
+def approximate_ndv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct values by sketches, as metrics have them by default, held against exact ones."""
+    names = {"l_orderkey": "RAWNUM", "l_partkey": "RAWNUM", "l_comment": "STR", "l_quantity": "RAWNUM", "l_shipdate": "RAWDATE"}
+    lines = table(spark, sf_dir, "lineitem").withColumn("l_comment", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    near, exact = (pf.stage_metrics(lines, names, approximate=a).filter("metric = 'NDV'").select("column_name", F.col("value_num").alias(n)) for a, n in ((True, "a"), (False, "b")))
+    return near.join(exact, "column_name").select("column_name", (F.abs(F.col("a") - F.col("b")) <= 0.1 * F.col("b")).alias("within_a_tenth"))
 
 
 # Chains: order lines flow from a source through two feeds that converge, and lose or change something on the way.
@@ -135,7 +149,7 @@ KINDS = {"price": "RAWNUM", "quantity": "RAWNUM", "flag": "STR"}
 def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     li = table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("quantity"), F.col("l_returnflag").alias("flag"), "l_linestatus", "l_orderkey")
     all_ = li.filter("l_orderkey % 10 <> 0")
-    dwh = all_.withColumn("flag", F.when(F.col("l_orderkey") % 100 == 1, "Z").otherwise(F.col("flag")))
+    dwh = all_.withColumn("flag", F.when(F.col("l_orderkey") % 100 == 1, "Z").otherwise(F.col("flag"))).withColumn("quantity", F.when(F.col("l_orderkey") % 50 != 3, F.col("quantity")))
     return {"src": li, "eod": li.filter("l_linestatus = 'O'"), "intraday": li.filter("l_linestatus = 'F'"), "all": all_, "dwh": dwh, "dwh2": dwh}
 
 
@@ -147,7 +161,7 @@ def chain_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineage_id, stage, metric, value_num, value_str of all chains: each table's columns are measured once."""
     out = None
     for name, df in _tables(spark, sf_dir).items():
-        part = pf.stage_metrics(df, KINDS).withColumn("table_name", F.lit(name))
+        part = pf.stage_metrics(df, KINDS, approximate=False).withColumn("table_name", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return va.by_stage(chains(spark)).join(out, ["table_name", "column_name"]).select("lineage_id", "stage", "metric", "value_num", "value_str")
 
@@ -155,10 +169,10 @@ def chain_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 VARIANCE_SQL = f"""li AS (SELECT l_extendedprice::DECIMAL(18, 6) AS price, l_quantity::DECIMAL(18, 6) AS quantity, l_returnflag AS flag, l_linestatus, l_orderkey FROM lineitem),
 tb AS (SELECT 'src' AS tn, price, quantity, flag FROM li UNION ALL SELECT CASE WHEN l_linestatus = 'O' THEN 'eod' ELSE 'intraday' END, price, quantity, flag FROM li
  UNION ALL SELECT 'all', price, quantity, flag FROM li WHERE l_orderkey % 10 <> 0
- UNION ALL SELECT unnest(['dwh', 'dwh2']), price, quantity, CASE WHEN l_orderkey % 100 = 1 THEN 'Z' ELSE flag END FROM li WHERE l_orderkey % 10 <> 0),
-me AS (SELECT tn, 'price' AS cn, unnest(['CNT', 'NULLS', 'NDV', 'SUM', 'MIN', 'MAX']) AS metric, unnest([count(*), count(*) - count(price), count(DISTINCT price), sum(price), min(price), max(price)]::DOUBLE[]) AS v FROM tb GROUP BY tn
- UNION ALL SELECT tn, 'quantity', unnest(['CNT', 'NULLS', 'NDV', 'SUM', 'MIN', 'MAX']), unnest([count(*), count(*) - count(quantity), count(DISTINCT quantity), sum(quantity), min(quantity), max(quantity)]::DOUBLE[]) FROM tb GROUP BY tn
- UNION ALL SELECT tn, 'flag', unnest(['CNT', 'NULLS', 'NDV', 'MAXLEN', 'HASHSUM']), unnest([count(*), count(*) - count(flag), count(DISTINCT flag), max(length(flag)), sum(('0x' || substr(md5(flag), 1, 8))::BIGINT)]::DOUBLE[]) FROM tb GROUP BY tn),
+ UNION ALL SELECT unnest(['dwh', 'dwh2']), price, CASE WHEN l_orderkey % 50 <> 3 THEN quantity END, CASE WHEN l_orderkey % 100 = 1 THEN 'Z' ELSE flag END FROM li WHERE l_orderkey % 10 <> 0),
+me AS (SELECT tn, 'price' AS cn, unnest(['CNT', 'NULLS', 'NDV', 'SUM', 'MIN', 'MAX']) AS metric, unnest([count(price), count(*) - count(price), count(DISTINCT price), sum(price), min(price), max(price)]::DOUBLE[]) AS v FROM tb GROUP BY tn
+ UNION ALL SELECT tn, 'quantity', unnest(['CNT', 'NULLS', 'NDV', 'SUM', 'MIN', 'MAX']), unnest([count(quantity), count(*) - count(quantity), count(DISTINCT quantity), sum(quantity), min(quantity), max(quantity)]::DOUBLE[]) FROM tb GROUP BY tn
+ UNION ALL SELECT tn, 'flag', unnest(['CNT', 'NULLS', 'NDV', 'MAXLEN', 'HASHSUM']), unnest([count(flag), count(*) - count(flag), count(DISTINCT flag), max(length(flag)), sum(('0x' || substr(md5(flag), 1, 8))::BIGINT)]::DOUBLE[]) FROM tb GROUP BY tn),
 ch AS (SELECT * FROM {values(CHAINS, CHAIN_COLUMNS, CHAIN_TYPES)}),
 st AS (SELECT DISTINCT dwh_table, dwh_column, stg2_table, stg2_column, unnest(['SRC', 'STG1', 'STG2', 'DWH']) AS stage, unnest([src_table, stg1_table, stg2_table, dwh_table]) AS tn, unnest([src_column, stg1_column, stg2_column, dwh_column]) AS cn FROM ch),
 co AS (SELECT dwh_table, dwh_column, stg2_table, stg2_column, stage, metric, CASE WHEN count(*) = 1 THEN max(v) WHEN metric IN ('CNT', 'NULLS', 'SUM', 'HASHSUM') THEN sum(v) WHEN metric IN ('MAX', 'MAXLEN') THEN max(v) WHEN metric = 'MIN' THEN min(v) END AS value_num
@@ -194,8 +208,13 @@ def variance_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return va.summarize(chains(spark), chain_profile(spark, sf_dir), "run", "MAIN")
 
 
-@query()
+@query(
+    f"""WITH {CLASSES_SQL} SELECT column_name, 'SRC' AS stage, 'lineitem' AS table_name, kind AS inferred_type, floor(conf * 100 + 0.5) / 100 AS conformance_pct, total AS total_rows, nonnull AS nonnull_rows, bad AS bad_rows,
+ prec_max AS num_prec_max, scale_max AS num_scale_max, max_len, lead_zero AS lead_zero_rows, CASE WHEN kind LIKE 'DATE:%' OR kind = 'MIXED' THEN m END AS date_mask, risk, column_name = 'mixed' AS pii_suppressed,
+ CASE WHEN risk = 'CAST_UNSAFE' AND column_name <> 'mixed' AND kind IN ('INTEGER', 'DECIMAL') THEN (SELECT to_json(list(x ORDER BY x))::VARCHAR FROM (SELECT DISTINCT substr(v, 1, 80) AS x FROM w WHERE w.column_name = u.column_name AND v IS NOT NULL AND NOT num ORDER BY x LIMIT 5)) END AS samples_json FROM u"""
+)
 def profile_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole profile of a table, samples included, personal columns kept back."""
+    """The whole profile of a table, samples included, personal columns kept back. None of the other masks fits anything."""
     pii = frame(spark, [("mixed", "Y"), ("spoilt", "N")], "column_name is_pii", "VARCHAR VARCHAR")
-    return pf.profile_table(texts(spark, sf_dir), assembled(["dd/MM/yyyy", "HH:mm"]), "SRC", "lineitem", pii)
+    out = pf.profile_table(texts(spark, sf_dir), assembled(["dd/MM/yyyy", "HH:mm"]), "SRC", "lineitem", pii)
+    return out.select("column_name", "stage", "table_name", "inferred_type", "conformance_pct", "total_rows", "nonnull_rows", "bad_rows", "num_prec_max", "num_scale_max", "max_len", "lead_zero_rows", "date_mask", "risk", "pii_suppressed", "samples_json")

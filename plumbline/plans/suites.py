@@ -17,9 +17,9 @@ from plumbline.operators import relational as rl
 from plumbline.operators.checks import Check
 
 # Codes that are accepted.
-CLASS_CODES = "EQD EQI EQEM EQSM EQLG FIG FIC FIM FIHY FIIG FIMB FIAB FITIP FIIN FIEM AHFN APRE ARET ACOM AINF CASH CONV PREF MLTB OTHR".split()
-SECURITY_TYPES = "EQUITY FIXED_INCOME OPTION FUTURE CASH_EQUIV CONVERTIBLE PREFERRED ALTERNATIVE OTHER".split()
-CURRENCIES = "USD EUR GBP JPY CHF CAD AUD CNY HKD SGD INR BRL MXN KRW ZAR SEK NOK DKK NZD PLN".split()
+CLASS_CODES = ("EQD", "EQI", "EQEM", "EQSM", "EQLG", "FIG", "FIC", "FIM", "FIHY", "FIIG", "FIMB", "FIAB", "FITIP", "FIIN", "FIEM", "AHFN", "APRE", "ARET", "ACOM", "AINF", "CASH", "CONV", "PREF", "MLTB", "OTHR")
+SECURITY_TYPES = ("EQUITY", "FIXED_INCOME", "OPTION", "FUTURE", "CASH_EQUIV", "CONVERTIBLE", "PREFERRED", "ALTERNATIVE", "OTHER")
+CURRENCIES = ("USD", "EUR", "GBP", "JPY", "CHF", "CAD", "AUD", "CNY", "HKD", "SGD", "INR", "BRL", "MXN", "KRW", "ZAR", "SEK", "NOK", "DKK", "NZD", "PLN")
 MART_STATUS, SOURCE_STATUS = ["A", "I", "U"], ["A", "I", "P", "D"]
 L1_METHODS, L2_METHODS = ["DIRECT", "PARENT_ROLLUP", "FALLBACK"], ["DIRECT", "ASSET_CLASS_DEFAULT", "FALLBACK"]
 ACTIVE = [True, False, "Y", "N", 1, 0]
@@ -42,8 +42,9 @@ def _given(check: Check) -> Check:
     return check.given(F.col(check.columns[0]).isNotNull())
 
 
-def mart_checks(mart: DataFrame, as_of: date) -> list[Check]:
-    """The mart's declarative tests, but for references and the row count of staging."""
+def mart_checks(mart: DataFrame, as_of: date, source_class: str = SOURCE_CLASS) -> list[Check]:
+    """The mart's declarative tests, but for references and the row count of staging. source_class: the mart's column that
+    keeps the source's class code, whatever it is called there."""
     lengths = lambda c, a, b: ck.length_between(c, a, b)
     return [
         ck.expression("security_id_given", F.col("SECURITY_ID").isNotNull()),
@@ -93,7 +94,7 @@ def mart_checks(mart: DataFrame, as_of: date) -> list[Check]:
         lengths("_L1_MAPPING_METHOD", 6, 20),
         ck.accepted("_L2_MAPPING_METHOD", L2_METHODS),
         lengths("_L2_MAPPING_METHOD", 6, 25),
-        ck.not_null(SOURCE_CLASS),
+        ck.not_null(source_class),
         ck.not_null("_TRANSFORMATION_TS"),
         ck.has_type(mart, "_TRANSFORMATION_TS", "timestamp"),
     ]
@@ -194,10 +195,10 @@ def in_process_checks(mart: DataFrame) -> list[Check]:
     ]
 
 
-def run_mart_suite(tables: dict[str, DataFrame], as_of: date) -> DataFrame:
+def run_mart_suite(tables: dict[str, DataFrame], as_of: date, source_class: str = SOURCE_CLASS) -> DataFrame:
     """All of the mart's results: declarative tests, references, reconciliation with source and staging."""
     mart = tables["mart"]
-    out = ck.run(mart, mart_checks(mart, as_of), "mart").unionByName(ck.run(mart, in_process_checks(mart), "mart in process")).unionByName(ck.run(mart, expectations(), "mart expectations"))
+    out = ck.run(mart, mart_checks(mart, as_of, source_class), "mart").unionByName(ck.run(mart, in_process_checks(mart), "mart in process")).unionByName(ck.run(mart, expectations(), "mart expectations"))
     out = out.unionByName(ck.run(tables["staging"], [ck.duplicate_excess("security_id")], "staging"))
 
     def line(name: str, category: str, counted: DataFrame, observed: str) -> DataFrame:
@@ -205,6 +206,7 @@ def run_mart_suite(tables: dict[str, DataFrame], as_of: date) -> DataFrame:
         return counted.select(F.lit("mart").alias("table_name"), F.lit(name).alias("check_name"), F.lit(category).alias("category"), F.lit("error").alias("severity"), seen.alias("observed"), F.lit(None).cast("bigint").alias("base_rows"), F.when(seen == 0, "PASS").otherwise("FAIL").alias("status"), F.lit(None).cast("string").alias("error"))
 
     for key, parent, parent_key in MART_REFERENCES:
+        key = source_class if key == SOURCE_CLASS else key
         lost = rl.missing_references(mart, key, tables[parent], parent_key).agg(F.count(F.lit(1)).alias("n"))
         out = out.unionByName(line(f"reference_{key}", "Integrity", lost, "n"))
     for other in ("securities", "staging"):

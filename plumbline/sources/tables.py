@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +27,25 @@ def parse_dsn(dsn: str) -> dict[str, str]:
     return {"user": user, "password": password, "address": rest}
 
 
+def source_dsn(data_source: str, settings: Mapping[str, str], prefix: str = "PLUMBLINE") -> str:
+    """Where a data source is: its own DSN among the settings (such as the environment), else the catalog's."""
+    for name in (f"{prefix}_{data_source.upper()}_DSN", f"{prefix}_CATALOG_DSN"):
+        if settings.get(name):
+            return settings[name]
+    raise KeyError(f"neither a DSN for {data_source} nor one for the catalog is set")
+
+
+def first_catalog(makers: list[Callable[[], Catalog]]) -> Catalog:
+    """The first catalog that can be made; the last error if none can."""
+    error: Exception = ValueError("no catalog")
+    for make in makers:
+        try:
+            return make()
+        except Exception as found:  # noqa: BLE001  the next one is tried
+            error = found
+    raise error
+
+
 def read_jdbc(spark: SparkSession, dsn: str, table: str, **options: str) -> DataFrame:
     """A warehouse table over JDBC, where a driver is on the class path. Give partitionColumn and its bounds for a
     table of any size: without them one task reads it."""
@@ -97,6 +116,12 @@ def type_class(declared: str) -> str:
     return "LOB"
 
 
+def snapshots(spark: SparkSession, path: str, keys: Mapping[str, str]) -> dict[str, DataFrame]:
+    """Tables of a folder, read only, each in the order of its key. Sorting is done when, and only as far as, rows are
+    fetched: a limit takes the first ones without sorting the whole."""
+    return {n: spark.read.parquet(f"{path}/{n}.parquet").orderBy(key) for n, key in keys.items()}
+
+
 def limited(df: DataFrame, rows: int) -> DataFrame:
     """At most so many rows, any ones; 0 for all."""
     return df.limit(rows) if rows > 0 else df
