@@ -34,6 +34,8 @@ FLUSH = 600_000
 HOT = 64
 #: Shingles a fragment should hold, and candidate documents a bucket should hold.
 FRAGMENT, BUCKET = 1_200_000, 600_000
+#: Sets to be looked at whole up to which their names are broadcast (32 bytes each).
+MOST_FOUND = 200_000
 _COMMON = 0xFFFFFFFF
 
 
@@ -78,19 +80,31 @@ class Rule:
         return self.need(n) if self.whole else self.wanted(self.need(n))
 
 
-def _node(key: bytes | None) -> int | None:
-    return key and int.from_bytes(key[:8], "little", signed=True)
+def _pairs_of(column: list[bytes]) -> np.ndarray:
+    """16-byte names of sets as two numbers each."""
+    return np.frombuffer(b"".join(x for x in column if x), "<u8").reshape(-1, 2)
 
 
-_FIRST = "part int, doc_id long, n int, key binary, node long, classes binary, sizes binary, counts binary, tokens binary, hot binary"
-_SECOND = "part int, doc_id long, n int, key binary, node long, classes binary, sizes binary, counts binary, tokens binary, seen binary"
+def _coded(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different names, and which of them each one is."""
+    order = np.lexsort((names[:, 1], names[:, 0]))
+    sorted_ = names[order]
+    fresh = np.ones(len(names), bool)
+    fresh[1:] = (sorted_[1:] != sorted_[:-1]).any(1)
+    code = np.empty(len(names), np.int64)
+    code[order] = np.cumsum(fresh) - 1
+    return sorted_[fresh], code
+
+
+_FIRST = "part int, doc_id long, n int, key binary, classes binary, sizes binary, counts binary, tokens binary, hot binary"
+_SECOND = "part int, doc_id long, n int, key binary, classes binary, sizes binary, counts binary, tokens binary, seen binary"
 
 
 def _rows(schema: list[tuple[str, pa.DataType]], rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in schema], names=[n for n, _ in schema])
 
 
-_FIRST_ARROW = [("part", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()), ("key", pa.binary()), ("node", pa.int64()), *((x, pa.binary()) for x in ("classes", "sizes", "counts", "tokens", "hot"))]
+_FIRST_ARROW = [("part", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()), ("key", pa.binary()), *((x, pa.binary()) for x in ("classes", "sizes", "counts", "tokens", "hot"))]
 _SECOND_ARROW = [*_FIRST_ARROW[:-1], ("seen", pa.binary())]
 
 
@@ -104,13 +118,13 @@ def _fragment_of(tokens: np.ndarray, fragments: int) -> np.ndarray:
 
 
 def _packed(classes, sizes, counts, tokens) -> dict:
-    return {"classes": classes.astype("<u8").tobytes(), "sizes": sizes.astype("<u4").tobytes(), "counts": counts.astype("<u4").tobytes(), "tokens": tokens.astype("<u8").tobytes()}
+    return {"classes": np.ascontiguousarray(classes).tobytes(), "sizes": sizes.astype("<u4").tobytes(), "counts": counts.astype("<u4").tobytes(), "tokens": tokens.astype("<u8").tobytes()}
 
 
-def _deal(entries: list[tuple[int, int, np.ndarray]], fragments: int) -> list[dict]:
-    """(document, its set's size, shingles) to a row for each fragment. Shingles that HOT of the entries hold are only
+def _deal(entries: list[tuple[bytes, int, np.ndarray]], fragments: int) -> list[dict]:
+    """(a set's name, its size, shingles) to a row for each fragment. Shingles that HOT of the entries hold are only
     named there; their holders go to parts below 0, which are dealt evenly."""
-    classes = np.fromiter((c for c, _, _ in entries), np.uint64, len(entries))
+    classes = _pairs_of([c for c, _, _ in entries])
     sizes = np.fromiter((n for _, n, _ in entries), np.int64, len(entries))
     counts = np.fromiter((len(t) for _, _, t in entries), np.int64, len(entries))
     tokens = np.concatenate([t for _, _, t in entries])
@@ -132,13 +146,13 @@ def _deal(entries: list[tuple[int, int, np.ndarray]], fragments: int) -> list[di
             out.append({"part": f, "hot": mine.astype("<u8").tobytes()} | _packed(classes[own], sizes[own], times_of, tokens[at]))
     if len(hot):
         own, times_of = np.unique(owner[common], return_counts=True)
-        out.append({"part": -1 - int(classes[0] % np.uint64(4 * fragments))} | _packed(classes[own], sizes[own], times_of, tokens[common]))
+        out.append({"part": -1 - int(classes[0, 0] % np.uint64(4 * fragments))} | _packed(classes[own], sizes[own], times_of, tokens[common]))
     return out
 
 
 def _cut(batches: Iterator[pa.RecordBatch], rule: Rule, words: int, fragments: int) -> Iterator[pa.RecordBatch]:
     """Documents to prefixes, dealt out by fragment; copies within a flush go once."""
-    held: dict[int, tuple[int, int, np.ndarray]] = {}
+    held: dict[bytes, tuple[bytes, int, np.ndarray]] = {}
     size = 0
     for batch in batches:
         docs = []
@@ -146,12 +160,10 @@ def _cut(batches: Iterator[pa.RecordBatch], rule: Rule, words: int, fragments: i
             found = shingles(text.as_py(), words)
             n = len(found)
             key = xxhash.xxh3_128_digest(found.tobytes()) if n else None
-            docs.append({"part": -1 - i % (4 * fragments), "doc_id": doc_id, "n": n, "key": key, "node": _node(key)})
-            if n:
-                short = _node(key) % (1 << 64)
-                if short not in held:
-                    held[short] = (short, n, found[: int(rule.prefix(n))].copy())
-                    size += len(held[short][2])
+            docs.append({"part": -1 - i % (4 * fragments), "doc_id": doc_id, "n": n, "key": key})
+            if n and key not in held:
+                held[key] = (key, n, found[: int(rule.prefix(n))].copy())
+                size += len(held[key][2])
         yield _rows(_FIRST_ARROW, docs)
         if size >= FLUSH:
             yield _rows(_FIRST_ARROW, _deal(list(held.values()), fragments))
@@ -163,13 +175,13 @@ def _cut(batches: Iterator[pa.RecordBatch], rule: Rule, words: int, fragments: i
 
 def _recut(batches: Iterator[pa.RecordBatch], fragments: int) -> Iterator[pa.RecordBatch]:
     """The candidates' whole sets, dealt out by fragment."""
-    held: list[tuple[int, int, np.ndarray]] = []
+    held: list[tuple[bytes, int, np.ndarray]] = []
     size = 0
     for batch in batches:
         for node, n, grams in zip(*(c.to_pylist() for c in batch.columns)):
             found = np.frombuffer(grams, "<u8")
             if len(found):
-                held.append((node % (1 << 64), n, found))
+                held.append((node.to_bytes(16, "little"), n, found))
                 size += len(found)
         if size >= FLUSH:
             yield _rows(_FIRST_ARROW, _deal(held, fragments))
@@ -188,7 +200,7 @@ def _counted(table: pa.Table, buckets: int) -> pa.Table:
     part = table.column("part")[0].as_py()
     if part < 0:  # documents, and shingles that are known to be common
         rows = []
-        for r in table.select(["doc_id", "n", "key", "node"]).filter(pa.compute.is_valid(table.column("n"))).to_pylist():
+        for r in table.select(["doc_id", "n", "key"]).filter(pa.compute.is_valid(table.column("n"))).to_pylist():
             rows.append({"part": -1} | r)
         got = table.filter(pa.compute.is_valid(table.column("classes")))
         if not len(got):
@@ -196,9 +208,9 @@ def _counted(table: pa.Table, buckets: int) -> pa.Table:
         keep_all = True
     else:
         rows, got, keep_all = [], table, False
-    classes, sizes, counts = _joined(got.column("classes"), "<u8"), _joined(got.column("sizes"), "<u4"), _joined(got.column("counts"), "<u4")
-    tokens = _joined(got.column("tokens"), "<u8")
-    own, token_size = np.repeat(classes, counts), np.repeat(sizes, counts)
+    kinds, code = _coded(_pairs_of(got.column("classes").to_pylist()))
+    sizes, counts, tokens = (_joined(got.column(x), k) for x, k in (("sizes", "<u4"), ("counts", "<u4"), ("tokens", "<u8")))
+    own, token_size = np.repeat(code, counts), np.repeat(sizes, counts)
     order = np.lexsort((own, tokens))
     own, tokens, token_size = own[order], tokens[order], token_size[order]
     fresh = np.ones(len(own), bool)
@@ -214,7 +226,7 @@ def _counted(table: pa.Table, buckets: int) -> pa.Table:
         seen = np.where(common, _COMMON, seen)
         keep = seen >= 2
     own, tokens, token_size, seen = own[keep], tokens[keep], token_size[keep], seen[keep]
-    bucket = (own % np.uint64(buckets)).astype(np.int64)
+    bucket = (kinds[:, 0] % np.uint64(buckets)).astype(np.int64)[own]
     order = np.lexsort((own, bucket))
     own, tokens, token_size, seen, bucket = own[order], tokens[order], token_size[order], seen[order], bucket[order]
     bounds = np.searchsorted(bucket, np.arange(buckets + 1))
@@ -222,16 +234,16 @@ def _counted(table: pa.Table, buckets: int) -> pa.Table:
         s = slice(bounds[b], bounds[b + 1])
         if s.stop > s.start:
             c, first, times = np.unique(own[s], return_index=True, return_counts=True)
-            rows.append({"part": b, "seen": seen[s].astype("<u4").tobytes()} | _packed(c, token_size[s][first], times, tokens[s]))
+            rows.append({"part": b, "seen": seen[s].astype("<u4").tobytes()} | _packed(kinds[c], token_size[s][first], times, tokens[s]))
     return pa.Table.from_batches([_rows(_SECOND_ARROW, rows)]) if rows else none
 
 
 def _summed(table: pa.Table, rule: Rule) -> pa.Table:
     """Partial counts summed per document; those that can have a partner, with their rarest shared shingles, before
     which ``skip`` of their own stand in the order."""
-    classes, sizes, counts = (_joined(table.column(x), k) for x, k in (("classes", "<u8"), ("sizes", "<u4"), ("counts", "<u4")))
-    tokens, seen = _joined(table.column("tokens"), "<u8"), _joined(table.column("seen"), "<u4")
-    own, n = np.repeat(classes, counts), np.repeat(sizes, counts).astype(np.int64)
+    kinds, code = _coded(_pairs_of(table.column("classes").to_pylist()))
+    sizes, counts, tokens, seen = (_joined(table.column(x), k) for x, k in (("sizes", "<u4"), ("counts", "<u4"), ("tokens", "<u8"), ("seen", "<u4")))
+    own, n = np.repeat(code, counts), np.repeat(sizes, counts).astype(np.int64)
     order = np.lexsort((tokens, seen, own))
     own, n, tokens = own[order], n[order], tokens[order]
     fresh = np.ones(len(own), bool)
@@ -245,7 +257,15 @@ def _summed(table: pa.Table, rule: Rule) -> pa.Table:
     ids, first, n, take, skip = ids[ok], first[ok], n[ok], take[ok], (prefix - shared)[ok]
     values = np.concatenate([tokens[a : a + t] for a, t in zip(first, take)]) if len(ids) else np.empty(0, np.uint64)
     ends = np.concatenate([[0], np.cumsum(take)]).astype(np.int32)
-    return pa.table([pa.array(ids.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(skip.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))], names=["node", "n", "skip", "tokens"])
+    keys = pa.array([kinds[i].tobytes() for i in ids], pa.binary())
+    return pa.table([keys, pa.array(n.astype(np.int32)), pa.array(skip.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))], names=["key", "n", "skip", "tokens"])
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Names that were made of nodes, as nodes again."""
+    for batch in batches:
+        node = _pairs_of(batch.column(0).to_pylist())[:, 0].astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(node), *batch.columns[1:]], names=["node", "n", "skip", "tokens"])
 
 
 def _whole(batches: Iterator[pa.RecordBatch], words: int, cuts: int) -> Iterator[pa.RecordBatch]:
@@ -253,9 +273,9 @@ def _whole(batches: Iterator[pa.RecordBatch], words: int, cuts: int) -> Iterator
     names = ["node", "n", "cut", "grams"]
     for batch in batches:
         rows = ([], [], [], [])
-        for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        for node, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             found = shingles(text.as_py(), words)
-            if not len(found) or _node(xxhash.xxh3_128_digest(found.tobytes())) != node:
+            if not len(found) or xxhash.xxh3_128_digest(found.tobytes()) != key:
                 continue
             at = np.searchsorted(found, np.arange(1, cuts, dtype=np.uint64) * np.uint64((1 << 64) // cuts))
             for c, piece in enumerate(np.split(found, at)):
@@ -287,8 +307,8 @@ def ngram_components(
     """Components of documents whose shingle sets have a Jaccard similarity of per_cent / 100 or more.
 
     Returns one row per row of docs: doc_id, n_shingles, component_id (the smallest id that links reach, its own
-    included). Documents with equal sets are one node; links between different sets are found without loss, apart from
-    collisions of 64-bit hashes. Pairs within a component that is already known are not tested again, so a group of
+    included). Documents with equal sets, by 128-bit digests, are one node; links between different sets are found without
+    loss, apart from collisions of shingles' 64-bit hashes. Pairs within a component that is already known are not tested again, so a group of
     near copies costs rows in proportion to its size. Nulls, empty and blank texts have an empty set and are linked with
     nothing; ids that repeat count as one document whose rows share their links; other columns are ignored; an empty
     table gives an empty result; a null id is kept and never the smallest.
@@ -302,24 +322,26 @@ def ngram_components(
     buckets = max(4, math.ceil(tokens / BUCKET))
     first = source.mapInArrow(streamed(_cut, rule, words, fragments), _FIRST)
     counted = written(first.groupBy("part").applyInArrow(grouped(_counted, buckets), _SECOND), "ngram-fragments")
-    ids = counted.filter(F.col("n").isNotNull()).select("doc_id", "n", "key", "node")
-    cands = written(_candidates(counted, rule).select("node"), "ngram-first")
-    nodes = ids.filter(F.col("key").isNotNull()).groupBy("key", "node").agg(F.min("doc_id").alias("first_id"))
-    found = nodes.join(cands, "node", "left_semi").select(F.col("first_id").alias("found_id"), "node")
-    if cands.count() <= 1_000_000:  # 16 MB at most
+    ids = counted.filter(F.col("n").isNotNull()).select("doc_id", "n", "key")
+    nodes = ids.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("first_id"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "ngram-nodes")
+    cands = written(_candidates(counted, rule).select("key"), "ngram-first")
+    found = nodes.join(cands, "key", "left_semi").select(F.col("first_id").alias("found_id"), "node", "key")
+    if cands.count() <= MOST_FOUND:
         found = F.broadcast(found)
-    whole = source.join(found, F.col("doc_id").eqNullSafe(F.col("found_id"))).select("node", "text").mapInArrow(streamed(_whole, words, cuts), "node long, n int, cut int, grams binary")
+    whole = source.join(found, F.col("doc_id").eqNullSafe(F.col("found_id"))).select("node", "key", "text").mapInArrow(streamed(_whole, words, cuts), "node long, n int, cut int, grams binary")
     sets = written(whole.dropDuplicates(["node", "cut"]), "ngram-sets")
     again = sets.select("node", "n", "grams").mapInArrow(streamed(_recut, fragments), _FIRST)
     second = again.groupBy("part").applyInArrow(grouped(_counted, buckets), _SECOND)
-    cands = written(_candidates(second, Rule(per_cent, whole=True)), "ngram-candidates")
+    cands = _candidates(second, Rule(per_cent, whole=True))
+    cands = written(cands.mapInArrow(streamed(_numbered), "node long, n int, skip int, tokens array<long>"), "ngram-candidates")
     links = _all_links(cands, sets, per_cent, cuts, star_rounds)
     return _answer(ids, nodes, links)
 
 
 def _candidates(counted: DataFrame, rule: Rule) -> DataFrame:
     packed = counted.filter(F.col("classes").isNotNull()).select("part", "classes", "sizes", "counts", "tokens", "seen")
-    return packed.groupBy("part").applyInArrow(grouped(_summed, rule), "node long, n int, skip int, tokens array<long>")
+    return packed.groupBy("part").applyInArrow(grouped(_summed, rule), "key binary, n int, skip int, tokens array<long>")
 
 
 def _answer(ids: DataFrame, nodes: DataFrame, comps: DataFrame | None) -> DataFrame:
