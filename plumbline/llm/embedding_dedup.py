@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, grouped, small_batches, streamed, written
+from .shared import components, dropped, grouped, small_batches, streamed, written
 
 BLOCKS, GRID, SEED = 8, 3, 7
 #: Coordinates of a block that travel to its cells; a distance over them is never more than over the whole block.
@@ -338,12 +338,13 @@ def embedding_components(
         whole = near.join(mine.select("node", "label", "weight", "vector"), "node")
         tasks = max(4, -(-near.count() // min(VERIFIED, max(1, COMPONENTS // dim))))
         part = whole.withColumn("bucket", F.pmod(F.xxhash64("cell"), F.lit(tasks)).cast("int")).groupBy("bucket").applyInArrow(grouped(_verified, plan), "u long, v long, n long")
+        part = written(part, "embedding-links")
+        dropped(near)
         found = part if found is None else found.unionByName(part)
     keys = ["mark", "label", "vector"]
     if found is None:
         nodes = classes.select(*keys, "weight", F.lit(0).cast("long").alias("n"), F.col("first_id").alias("component_id"))
     else:
-        found = written(found, "embedding-links")
         counts = found.groupBy("u").agg(F.sum("n").alias("n")).withColumnRenamed("u", "node")
         comps = components(found.filter("v >= 0").select("u", "v"))
         nodes = classes.join(counts, "node", "left").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -233,7 +233,8 @@ def identify(
     evidence_cap: float = 200.0,
     least_confidence: float = 0.5,
 ) -> DataFrame:
-    """Per row of docs: the columns ``keep``, language, confidence (its posterior), n_trigrams, rejected.
+    """Per row of docs: the columns ``keep``, language, confidence (its posterior), n_trigrams, rejected. A kept column that
+    has one of these names is left out.
 
     n trigrams count as n / (1 + n / evidence_cap) independent ones, as neighbours depend on each other. ``weight``: rows
     that a host's domain, and a domain's whole, are worth in smoothing. A row is rejected if its text has no trigram with
@@ -245,12 +246,14 @@ def identify(
     """
     spark = docs.sparkSession
     small_batches(spark)
+    keep = [c for c in keep if c not in ("language", "confidence", "n_trigrams", "rejected")]
     weights = spark.sparkContext.broadcast(np.ascontiguousarray(model.weights.T))  # PLACES times languages floats: 128 MB at most
     names, size = model.languages, len(model.languages)
     col = lambda c: F.lit(None).cast("string") if c is None else F.lower(F.col(c).cast("string"))
     host, domain = F.coalesce(col(host_col), F.lit("")), F.coalesce(col(domain_col), F.lit(""))
     letters = _letters(F.col(text_col).cast("string"))
-    row = F.struct(F.struct(*keep).alias("kept"), host.alias("host"), domain.alias("domain"))
+    kept = F.struct(*keep) if keep else F.struct(F.lit(None).cast("string").alias("none"))
+    row = F.struct(kept.alias("kept"), host.alias("host"), domain.alias("domain"))
     source = docs.select(row.alias("row"), letters.alias("text"), col(declared_col).alias("declared"), col(suffix_col).alias("suffix"))
     kind = f"row {source.schema['row'].dataType.simpleString()}, score array<double>, n_trigrams long, strange boolean, heard boolean, best int"
     judge = streamed(_scored, weights, names, model.floors, model.deviations, evidence_cap, declared_trust, suffix_trust)
@@ -277,7 +280,7 @@ def identify(
     fused = fused.withColumn("confidence", F.when(F.col("strange"), 0.0).otherwise(1 / F.aggregate("score", F.lit(0.0), lambda s, x: s + F.exp(x - best))))
     empty = (F.col("n_trigrams") == 0) & ~F.col("heard")
     return fused.select(
-        "kept.*",
+        *(["kept.*"] if keep else []),
         F.get(F.array(*map(F.lit, names)), top(F.col("score")) - 1).alias("language"),
         "confidence",
         "n_trigrams",
@@ -285,17 +288,23 @@ def identify(
     )
 
 
+# Second parts of addresses under which countries give names away; a domain has one part more there.
+SHARED = ("ac", "co", "com", "edu", "gob", "gov", "gouv", "ltd", "net", "nom", "or", "org", "plc", "sch")
+
+
 def page_parts(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """pages with page_text, declared, host, domain and suffix: whole pages without scripts, styles and tags."""
+    """pages with page_text, declared, host, domain and suffix: whole pages without scripts, styles and tags. Columns of
+    pages that have one of these names are replaced. A domain is the host's last two parts, three where the last is a
+    country's and the one before it is shared (x.co.uk). Null or broken addresses have null parts, null markup no text."""
     html, url = F.col(html_col).cast("string"), F.col(url_col).cast("string")
     none = lambda c: F.nullif(c, F.lit(""))
     host = none(F.lower(F.regexp_extract(url, "^[A-Za-z]+://(?:[^/@]*@)?([^/:?#]+)", 1)))
     text = F.regexp_replace(html, "(?is)<(script|style)\\b.*?</\\1>|<!--.*?-->|<[^>]*>", " ")
-    return pages.select(
-        "*",
-        text.alias("page_text"),
-        none(F.lower(F.regexp_extract(html, "(?i)<html\\b[^>]*?\\blang\\s*=\\s*[\"']?([A-Za-z]{2,3})", 1))).alias("declared"),
-        host.alias("host"),
-        F.regexp_extract(host, "([^.]+\\.[^.]+)$", 1).alias("domain"),
-        F.regexp_extract(host, "\\.([^.]+)$", 1).alias("suffix"),
-    )
+    added = {
+        "page_text": text,
+        "declared": none(F.lower(F.regexp_extract(html, "(?i)<html\\b[^>]*?\\blang\\s*=\\s*[\"']?([A-Za-z]{2,3})", 1))),
+        "host": host,
+        "domain": none(F.regexp_extract(host, "((?:[^.]+\\.(?:" + "|".join(SHARED) + ")\\.[a-z]{2})|(?:[^.]+\\.[^.]+))$", 1)),
+        "suffix": none(F.regexp_extract(host, "\\.([^.]+)$", 1)),
+    }
+    return pages.select(*(c for c in pages.columns if c not in added), *(c.alias(n) for n, c in added.items()))

@@ -325,9 +325,9 @@ def ngram_components(
     ids = counted.filter(F.col("n").isNotNull()).select("doc_id", "n", "key")
     nodes = ids.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("first_id"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "ngram-nodes")
-    cands = written(_candidates(counted, rule).select("key"), "ngram-first")
-    found = nodes.join(cands, "key", "left_semi").select(F.col("first_id").alias("found_id"), "node", "key")
-    if cands.count() <= MOST_FOUND:
+    first_names = written(_candidates(counted, rule).select("key"), "ngram-first")
+    found = nodes.join(first_names, "key", "left_semi").select(F.col("first_id").alias("found_id"), "node", "key")
+    if first_names.count() <= MOST_FOUND:
         found = F.broadcast(found)
     whole = source.join(found, F.col("doc_id").eqNullSafe(F.col("found_id"))).select("node", "key", "text").mapInArrow(streamed(_whole, words, cuts), "node long, n int, cut int, grams binary")
     sets = written(whole.dropDuplicates(["node", "cut"]), "ngram-sets")
@@ -336,6 +336,8 @@ def ngram_components(
     cands = _candidates(second, Rule(per_cent, whole=True))
     cands = written(cands.mapInArrow(streamed(_numbered), "node long, n int, skip int, tokens array<long>"), "ngram-candidates")
     links = _all_links(cands, sets, per_cent, cuts, star_rounds)
+    for df in (first_names, sets, cands):  # what is left is read by the answer
+        dropped(df)
     return _answer(ids, nodes, links)
 
 

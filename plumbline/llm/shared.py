@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.session import ship
+
 #: Rows and bytes of a batch that goes to Python at most, as a batch is in memory several times at once.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 #: Links that one task of components() may write, while there are few.
@@ -27,7 +29,9 @@ def _tidy() -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's limits of batches for Python to ours, where they are higher."""
+    """Before Python runs on executors: they get this package, and the session's limits of batches for Python are lowered
+    to ours, where they are higher."""
+    ship(spark)
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         now = int(spark.conf.get(f"spark.sql.execution.arrow.{key}").rstrip("b"))
         if not 0 < now <= most:

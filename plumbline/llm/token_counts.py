@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import new_path, small_batches, streamed, written
+from .shared import dropped, new_path, small_batches, streamed, written
 from .tokens import WordCounts, drops_white_space, loaded
 
 _CACHE = "digest binary, n_tokens long, tokenizer string"
@@ -80,6 +80,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
             wanted = wanted.join(F.broadcast(missing) if n <= MOST_MISSING else missing, "digest", "left_semi")
         texts = wanted.groupBy("digest").agg(F.any_value("text").alias("text"))
         texts.mapInArrow(streamed(_encoded, version, content, kind, spaced), _CACHE).write.mode("append").parquet(path)
+    dropped(missing)
     known = spark.read.schema(_CACHE).parquet(path).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     known = written(known, "token-counts")  # so that the join may split a digest that many rows have
     return rows.join(known, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -267,12 +268,12 @@ def test_embedding_vectors_travel_only_where_proposed(spark, monkeypatch):
     kept = x.written
     monkeypatch.setattr(x, "written", lambda df, name: _noted(kept(df, name), name, sent))
     embedding_components(spark.read.parquet(f"{MEDIUM}/embeddings.parquet")).collect()
-    assert sum(df.count() for df in sent) <= 2 * spark.read.parquet(f"{MEDIUM}/embeddings.parquet").count()
+    assert sum(sent) <= 2 * spark.read.parquet(f"{MEDIUM}/embeddings.parquet").count()
 
 
 def _noted(df, name, sent):
     if name == "embedding-near":
-        sent.append(df)
+        sent.append(df.count())
     return df
 
 
@@ -331,6 +332,97 @@ def test_language_hosts_are_smoothed(spark):
     assert out[100].language == out[101].language == "de" and out[102].language == "en" and out[100].confidence > out[101].confidence
 
 
+def plain_languages(labelled, rows, smoothing=0.5, cap=200.0, weight=20.0, declared_trust=0.9, suffix_trust=0.7):
+    """The fusion, row by row. labelled: (text, lang); rows: (text, declared, suffix, host, domain)."""
+    from plumbline.llm import language_id as x
+
+    def codes(text):
+        text = text or ""
+        text = text if text.isascii() else regex.sub(x.NO_LETTERS, " ", text)
+        raw = bytes(b if b > 127 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in text.encode())
+        return [raw[i - 1 : i + 2] for i in range(1, len(raw) - 1) if raw[i] != 32]
+
+    place = lambda c: (int.from_bytes(c, "big") * 2654435761 % 2**32) >> 17
+    names = sorted({lang for _, lang in labelled if lang is not None})
+    counts, places = {n: Counter() for n in names}, {n: Counter() for n in names}
+    for text, lang in labelled:
+        if lang is not None:
+            counts[lang].update(codes(text))
+    logs, least = {}, {}
+    for n in names:
+        for c, k in counts[n].items():
+            places[n][place(c)] += k
+        total = sum(places[n].values())
+        share = lambda k, less=0: math.log((max(k - less, 0) + smoothing) / (total - less + smoothing * x.PLACES))  # noqa: B023, E731
+        logs[n] = defaultdict(lambda v=np.float32(share(0)): v, {p: np.float32(share(k)) for p, k in places[n].items()})
+        judged = [(k, share(k, 1)) for k in places[n].values()]
+        mean = sum(k * v for k, v in judged) / total
+        deviation = math.sqrt(max(0.0, sum(k * v * v for k, v in judged) / total - mean**2))
+        parts = [Counter() for _ in range(3)]
+        for c, k in counts[n].items():
+            for at in range(3):
+                parts[at][c[at]] += k
+        chance = sum(a / total * b / total * c / total * share(places[n].get(place(bytes((i, j, k))), 0)) for i, a in parts[0].items() for j, b in parts[1].items() for k, c in parts[2].items())
+        least[n] = ((mean + chance) / 2, deviation)
+    scored = []
+    for text, declared, suffix, _, _ in rows:
+        found = [place(c) for c in codes(text)]
+        k = len(found)
+        score = {n: sum(float(logs[n][p]) for p in found) / (1 + k / cap) for n in names}
+        held = {n: sum(max(float(logs[n][p]), float(np.float32(x.LEAST_SHARE))) for p in found) / max(k, 1) for n in names}
+        strange = k > 0 and all(held[n] < max(least[n][0] - x.ALLOWANCE * least[n][1] * math.sqrt((1 + k / cap) / k), -math.log(x.PLACES)) for n in names)
+        said = next((n for n in names if declared is not None and n.lower() == declared.lower()), None)
+        for which, trust in ((said, declared_trust), (x.SUFFIXES.get((suffix or "").lower()), suffix_trust)):
+            if which in names:
+                score = {n: s + math.log(trust if n == which else (1 - trust) / max(1, len(names) - 1)) for n, s in score.items()}
+        best = None if k == 0 or strange else max(names, key=lambda n: score[n])  # noqa: B023
+        scored.append((score, k, strange, said is not None, best))
+    place_of = [((domain or "").lower(), (host or "").lower()) for *_, host, domain in rows]
+    every, by_domain, by_host = Counter(names), defaultdict(Counter), defaultdict(Counter)
+    for (domain, host), (*_, best) in zip(place_of, scored):
+        if best is not None:
+            every[best] += 1
+            by_domain[domain][best] += 1
+            by_host[domain, host][best] += 1
+    smooth = lambda own, prior: {n: (own[n] + prior[n] * weight) / (sum(own.values()) + weight) for n in names}
+    general = {n: every[n] / sum(every.values()) for n in names}
+    out = []
+    for at, (score, k, strange, heard, _) in zip(place_of, scored):
+        prior = smooth(by_host[at], smooth(by_domain[at[0]], general))
+        fused = {n: score[n] + math.log(prior[n]) for n in names}
+        top = max(fused.values())
+        sure = 0.0 if strange else 1 / sum(math.exp(s - top) for s in fused.values())
+        out.append((max(names, key=lambda n: fused[n]), sure, k, k == 0 and not heard or strange or sure < 0.5))  # noqa: B023
+    return out
+
+
+def test_language_against_plain_python(spark):
+    """Every number of op6 at the smallest scale, and rows with odd evidence beside them."""
+    docs, pages = spark.read.parquet(f"{SMALL}/documents.parquet"), page_parts(spark.read.parquet(f"{SMALL}/pages.parquet"))
+    labelled = [(r.text, r.lang) for r in docs.collect()]
+    got = {(r.doc_id, r.page_id): r for r in q.op6_language_id(spark, SMALL).collect()}
+    ids = [(r.doc_id, None) for r in docs.collect()] + [(None, r.page_id) for r in pages.collect()]
+    rows = [(r.text, None, None, r.source, None) for r in docs.collect()] + [(r.page_text, r.declared, r.suffix, r.host, r.domain) for r in pages.collect()]
+    for i, (language, sure, n, rejected) in zip(ids, plain_languages(labelled, rows)):
+        r = got[i]
+        assert (r.language, r.n_trigrams, r.rejected) == (language, n, rejected) and math.isclose(r.confidence, sure, rel_tol=1e-6, abs_tol=1e-9)
+    odd = [("der die das und " * 3, "EN", "de", "H", "x"), ("q", None, "uk", "h", "x"), ("", "fr", None, None, None), (None, None, None, "h", "y"), ("Все люди " * 30, "de", None, "h", "x"), ("the and of", "zz", "zz", "g", "x"), ("é", None, None, "g", "")]
+    df = spark.createDataFrame([(i, *r, "old") for i, r in enumerate(odd)], "id long, text string, declared string, suffix string, host string, domain string, language string")
+    found = identify(df, train(docs), keep=["id", "language"], declared_col="declared", suffix_col="suffix", host_col="host", domain_col="domain")
+    assert found.columns == ["id", "language", "confidence", "n_trigrams", "rejected"]
+    for r, (language, sure, n, rejected) in zip(sorted(found.collect(), key=lambda r: r.id), plain_languages(labelled, odd)):
+        assert (r.language, r.n_trigrams, r.rejected) == (language, n, rejected) and math.isclose(r.confidence, sure, rel_tol=1e-6, abs_tol=1e-9)
+
+
+def test_page_parts_of_odd_addresses(spark):
+    urls = ["http://u@WWW.a.co.uk:8/x", "https://b.com.de", "https://x.example.com", "http://com", None, "nonsense", "ftp://m.co.jp/"]
+    df = spark.createDataFrame([(i, u, None if i == 4 else "<html lang='FR'><b>t</b><script>x</script>", "old") for i, u in enumerate(urls)], "page_id long, url string, html string, host string")
+    got = page_parts(df).orderBy("page_id").collect()
+    assert page_parts(df).columns == ["page_id", "url", "html", "page_text", "declared", "host", "domain", "suffix"]
+    assert [(r.host, r.domain, r.suffix) for r in got] == [("www.a.co.uk", "a.co.uk", "uk"), ("b.com.de", "b.com.de", "de"), ("x.example.com", "example.com", "com"), ("com", None, None), (None,) * 3, (None,) * 3, ("m.co.jp", "m.co.jp", "jp")]
+    assert got[0].declared == "fr" and got[0].page_text.split() == ["t"] and got[4].page_text is None
+
+
 def test_language_of_none(spark):
     rng = np.random.default_rng(5)
     letters, base64 = list("abcdefghijklmnopqrstuvwxyz     "), list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
@@ -394,6 +486,18 @@ def test_preference_pairs_edges(spark):
     assert got[4].prompt == got[4].chosen == "" and got[5].n_shared == 1 and got[6].chosen == user and len(got) == 6
 
 
+def test_preference_pairs_of_many_turns(spark):
+    """A conversation of many thousand turns, whose spans are checked against its text."""
+    n = 20_000
+    rows = [(c, i, "assistant" if i % 2 else "user", f"t{i}" if i < n - 1 or c else "other") for c in (0, 1) for i in range(n)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    start = time.perf_counter()
+    r, s = preference_pairs(turns, spark.createDataFrame([(1, 0, 1), (2, 0, None)], "pair_id long, chosen_id long, rejected_id long")).orderBy("pair_id").collect()
+    assert time.perf_counter() - start < 60 and r.n_shared == n - 1 and s.n_shared == 0 and s.prompt == ""
+    spans = [tuple(map(int, x.split("-"))) for x in s.chosen_spans.split(" ")]
+    assert len(spans) == n // 2 and s.chosen[slice(*spans[0])] == "t1<|end|>" and s.chosen[slice(*spans[-1])] == "other<|end|>"
+
+
 # all
 
 
