@@ -545,6 +545,21 @@ def test_near_copies_with_null_and_repeated_ids(spark):
     assert Counter(x for x in left if x[1] not in (far, far + " w")) == Counter(want)
 
 
+def test_pipeline_stages_of_odd_tables(spark):
+    """Nulls in every column, repeated rows, extra columns with the names that stages use, and no rows at all."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(40)
+    odd = spark.createDataFrame([(None, None, None, None, None), (7000, "", None, None, 0), (7001, "The house and the tree of the garden in the sun. " * 3, None, None, None)] * 2, docs.schema)
+    names = ["mark", "name", "size", "taken", "target", "row", "drops", "language", "key"]
+    now = docs.unionByName(odd).select("*", *(F.lit(f"own {n}").alias(n) for n in names))
+    for stage in (f for name, f in corpus_pipeline.STAGES[:-1]):
+        none = stage(spark, now.limit(0), SMALL)
+        assert none.columns == now.columns and none.count() == 0
+        out = stage(spark, now, SMALL)
+        rows = out.collect()
+        assert out.columns == now.columns and len(rows) > 20 and all(r[n] == f"own {n}" for r in rows for n in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, now, SMALL).count() > 40
+
+
 def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, SMALL)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 100
