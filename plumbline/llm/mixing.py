@@ -1,8 +1,9 @@
 """Mixing sources to target weights.
 
 Every document gets a hash-random key. Within a source, documents stand in the order of their keys; token counts are
-summed per range of keys, the ranges' sums are added up, and only the range that holds a source's budget is sorted to
-find the document at which the budget ends. A budget beyond its source's size repeats whole epochs first.
+summed per range of keys. The ranges form a tree: at each level the sums of at most FAN ranges of a source are added up to
+find the one that holds its budget, and only the documents of the last one are sorted to find the one at which the budget
+ends. A budget beyond its source's size repeats whole epochs first.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .shared import written
 
-#: Documents in a range of keys, about.
-RANGE = 20_000
+#: Documents in a range of keys, about, and bits by which ranges are cut further at each level (FAN = 2 ** LEVEL).
+RANGE, LEVEL = 64, 8
 KEY_BITS = 60
 #: Sources up to which their budgets are broadcast (about 100 bytes each).
 MOST_SOURCES = 100_000
@@ -75,13 +76,20 @@ def budgets(docs: DataFrame, weights: tuple[int, ...], most: int, seed: str, id_
     goal = F.floor("target").cast("long")
     aims = aims.withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(F.lit(0)).cast("long"))
     aims = written(aims.withColumn("rest", goal - F.col("epochs") * F.col("source_size")), "mixing-targets")
-    ahead = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = sums.withColumn("before", F.coalesce(F.sum("size").over(ahead), F.lit(0)))
     small = lambda df: F.broadcast(df) if aims.count() <= MOST_SOURCES else df
     same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
-    hit = ranges.alias("r").join(small(aims.select("source", "rest")).alias("a"), same("r", "a")).filter((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("size")))
-    hit = hit.select("r.source", "range", "before", "rest")
-    inside = narrow.alias("n").join(small(hit).alias("h"), same("n", "h") & (F.col("n.range") == F.col("h.range"))).select("n.source", "key", "doc_id", "n.size", "before", "rest")
+    at = aims.select("source", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("before"), "rest")
+    done = 0
+    while done < bits:
+        cut = min(LEVEL, bits - done)
+        below = sums.alias("s").join(small(at).alias("a"), same("s", "a") & (F.shiftright("s.range", bits - done) == F.col("a.prefix")))
+        level = below.groupBy("s.source", F.shiftright("s.range", bits - done - cut).alias("next"), "before", "rest").agg(F.sum("s.size").alias("size"))
+        ahead = Window.partitionBy("source").orderBy("next").rowsBetween(Window.unboundedPreceding, -1)  # of 2 ** LEVEL rows
+        level = level.withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(ahead), F.lit(0)))
+        level = level.filter((F.col("start") <= F.col("rest")) & (F.col("rest") < F.col("start") + F.col("size")))
+        at = written(level.select("source", F.col("next").alias("prefix"), F.col("start").alias("before"), "rest"), "mixing-level")
+        done += cut
+    inside = narrow.alias("n").join(small(at).alias("h"), same("n", "h") & (F.col("n.range") == F.col("h.prefix"))).select("n.source", "key", "doc_id", "n.size", "before", "rest")
     peers = inside.groupBy("source", "key", "doc_id", "size", "before", "rest").agg(F.count(F.lit(1)).alias("copies"))
     ordered = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     peers = peers.withColumn("start", F.col("before") + F.coalesce(F.sum(F.col("size") * F.col("copies")).over(ordered), F.lit(0)))
