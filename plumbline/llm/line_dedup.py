@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import grouped, small_batches, streamed, written
+from .shared import grouped, parts_of, small_batches, streamed, written
 
 _BLANKS = b" \t\n\x0b\x0c\r"
 #: Lines in a shard, about, and bits of a filter for each; keys of a flush; bytes of a line, to begin with.
@@ -161,7 +161,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     source = docs.select(F.struct(*row).alias("row"), *who)
     told = docs.select(*who, text.alias("text"))
     total = told.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(4, math.ceil(total / LINE / LINES))
+    shards = parts_of(docs.sparkSession, total / LINE / LINES)
     filed = told.mapInArrow(streamed(_filed, shards, least), "part int, docs binary, texts binary, keys binary, marked binary")
     suspects = written(filed.groupBy("part").applyInArrow(grouped(_suspected), "doc_id long, mark long, key binary"), "line-suspects")
     repeated = suspects.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import math
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -38,6 +39,11 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
+def parts_of(spark: SparkSession, needed: float) -> int:
+    """Parts to deal something into: as many as its size needs, and as many as a shuffle has."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(needed))
+
+
 def streamed(f: Callable, *args) -> Callable:
     """f over a task's batches, for mapInArrow."""
 
