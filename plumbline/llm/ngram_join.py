@@ -14,7 +14,6 @@ principle then applies a second time, and shingles of one document only need not
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, dropped, grouped, small_batches, streamed, written
+from .shared import components, dropped, grouped, parts_of, small_batches, streamed, written
 
 #: Odd multipliers, one for each place in a shingle.
 _PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
@@ -318,8 +317,8 @@ def ngram_components(
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tokens = size / 6 * (1 - per_cent / 100 + 0.1)
-    fragments = max(4, math.ceil(2 * tokens / FRAGMENT))
-    buckets = max(4, math.ceil(tokens / BUCKET))
+    fragments = max(4, parts_of(docs.sparkSession, 2 * tokens / FRAGMENT))
+    buckets = parts_of(docs.sparkSession, tokens / BUCKET)
     first = source.mapInArrow(streamed(_cut, rule, words, fragments), _FIRST)
     counted = written(first.groupBy("part").applyInArrow(grouped(_counted, buckets), _SECOND), "ngram-fragments")
     ids = counted.filter(F.col("n").isNotNull()).select("doc_id", "n", "key")
