@@ -26,6 +26,11 @@ def loaded(version: str, content: str):
     return _LOADED[version]
 
 
+def forget(version: str) -> None:
+    """The worker no longer keeps this tokenizer; who holds it still can use it."""
+    _LOADED.pop(version, None)
+
+
 def specials(tokenizer) -> list[str]:
     return [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
